@@ -56,13 +56,15 @@ def prefix_sum(
     ties: Sequence[str] = (),
     descending: bool = False,
     bounds: tuple[float, float] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running totals in the order of a numeric column, without a one-task window.
 
     The order range is cut into FAN_OUT blocks of FAN_OUT cells by value. Totals per
     cell and per block are small tables with a fixed row bound; rows are ordered only
     inside their cell and get the totals before it by a join. `sums` maps output
-    name -> input column. `bounds` skips the extra min/max pass when known.
+    name -> input column. `bounds` skips the extra min/max pass when known. `totals` maps
+    further output names -> names in `sums`, for the total of the whole group.
     The cells depend on values alone, so a re-run task yields the same rows."""
     by = list(by)
     rows = _with_cells(df, order, bounds, descending)
@@ -70,15 +72,18 @@ def prefix_sum(
     blocks = cells.groupBy(*by, "__block").agg(*[F.sum(f"__t_{k}").alias(f"__b_{k}") for k in sums])
     before_block = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before_cell = Window.partitionBy(*by, "__block").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    totals = totals or {}
     block_start = blocks.select(
-        *by, "__block", *[F.coalesce(F.sum(f"__b_{k}").over(before_block), F.lit(0)).alias(f"__s_{k}") for k in sums]
+        *by, "__block", *[F.coalesce(F.sum(f"__b_{k}").over(before_block), F.lit(0)).alias(f"__s_{k}") for k in sums],
+        *[F.sum(f"__b_{k}").over(whole).alias(t) for t, k in totals.items()],
     )
     cell_start = cells.select(
         *by, "__block", "__cell",
         *[F.coalesce(F.sum(f"__t_{k}").over(before_cell), F.lit(0)).alias(f"__c_{k}") for k in sums],
     )
     starts = cell_start.join(block_start, [*by, "__block"]).select(
-        *by, "__cell", *[(F.col(f"__c_{k}") + F.col(f"__s_{k}")).alias(f"__o_{k}") for k in sums]
+        *by, "__cell", *[(F.col(f"__c_{k}") + F.col(f"__s_{k}")).alias(f"__o_{k}") for k in sums], *totals
     )
     first = F.col(order).desc() if descending else F.col(order).asc()
     inside = (
@@ -86,7 +91,7 @@ def prefix_sum(
     )
     local = rows.select("*", *[F.sum(v).over(inside).alias(f"__l_{k}") for k, v in sums.items()])
     joined = local.join(starts, [*by, "__cell"])
-    return joined.select(*df.columns, *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums])
+    return joined.select(*df.columns, *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums], *totals)
 
 
 def rank_rows(
@@ -97,10 +102,13 @@ def rank_rows(
     descending: bool = False,
     bounds: tuple[float, float] | None = None,
     name: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based position of each row in the order of a numeric column, per group."""
+    """1-based position of each row in the order of a numeric column, per group, and the
+    size of the group under the name `total`."""
     ones = df.withColumn("__w", F.lit(1).cast("long"))
-    return prefix_sum(ones, order, {name: "__w"}, by, ties, descending, bounds).drop("__w")
+    totals = {total: name} if total else None
+    return prefix_sum(ones, order, {name: "__w"}, by, ties, descending, bounds, totals).drop("__w")
 
 
 def hash_order(seed: int | str, column: str) -> Column:
@@ -122,24 +130,15 @@ def exact_percentiles(
     Output: by columns, `prob`, `value`."""
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    run = prefix_sum(counts, value, {"__upto": "__n"}, by)
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    spot = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    wanted = totals.select(*by, "__total", spot).select(
-        *by, "prob", (F.col("prob") * (F.col("__total") - 1)).alias("__at")
-    )
-    need = wanted.groupBy(*by).agg(
-        F.collect_list(F.struct(F.col("prob"), F.col("__at"))).alias("__spots")
-    )
-    left = run.join(need, by) if by else attach_row(run, need)
+    run = prefix_sum(counts, value, {"__upto": "__n"}, by, totals={"__total": "__upto"})
+    spots = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.col("__total") - 1) * float(p)) for p in probs])
     low, high = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
-    hits = left.select(
+    near = lambda s: (F.ceil(s["col2"]) >= low) & (F.floor(s["col2"]) <= high)
+    hits = run.select(
         *by, F.col(value).cast("double").alias("__v"), low.alias("__lo"), high.alias("__hi"),
-        F.explode(
-            F.filter("__spots", lambda s: (F.ceil(s["__at"]) >= low) & (F.floor(s["__at"]) <= high))
-        ).alias("__s"),
+        F.explode(F.filter(spots, near)).alias("__s"),
     )
-    at = F.col("__s.__at")
+    at = F.col("__s.col2")
     floor_hit = F.when((F.floor(at) >= F.col("__lo")) & (F.floor(at) <= F.col("__hi")), F.col("__v"))
     ceil_hit = F.when((F.ceil(at) >= F.col("__lo")) & (F.ceil(at) <= F.col("__hi")), F.col("__v"))
     return (
