@@ -120,7 +120,7 @@ def carry_labels(filtered: DataFrame, labelled: DataFrame, key: str = "event_key
     then promote them to the campaign."""
     from alertloom.operators.windows import promote_labels
 
-    labels = labelled.select(key, F.col("label").alias("__l"))
+    labels = labelled.groupBy(key).agg(F.max("label").alias("__l"))
     joined = filtered.join(labels, key, "left").withColumn("label", F.coalesce("__l", F.lit(0))).drop("__l")
     return promote_labels(joined)
 

@@ -212,3 +212,19 @@ def time_cells(lo: Column, hi: Column, width: float) -> Column:
 
 def time_cell(ts: Column, width: float) -> Column:
     return F.floor(ts / width).cast("long")
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], value: str, name: str, cell_s: float = 60.0) -> DataFrame:
+    """The last non-null `value` at or before each row in its key.
+
+    Rows are ordered only inside a time cell; a per-cell table carries values between
+    cells, so the part of a key one task sees is bounded by the time span, not its rows."""
+    keys = list(keys)
+    rows = df.withColumn("__cell", time_cell(F.col(ts), cell_s))
+    known = F.col(value).isNotNull()
+    cells = rows.groupBy(*keys, "__cell").agg(F.max_by(value, F.when(known, F.struct(ts, *ties))).alias("__v"))
+    earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(*keys, "__cell", F.last("__v", ignorenulls=True).over(earlier).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__cell").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("__own", F.last(value, ignorenulls=True).over(inside))
+    return local.join(carried, [*keys, "__cell"]).select(*df.columns, F.coalesce("__own", "__carry").alias(name))
