@@ -130,7 +130,7 @@ def calibrate_rates(events: DataFrame, bucket_s: float = 60.0) -> DataFrame:
     filled = counts.agg(F.count(F.lit(1)).alias("__k"))
     gaps = attach_row(stats, filled).select(F.lit(None).cast("long").alias("__b"), F.lit(0).cast("long").alias("c"), (F.col("n_buckets") - F.col("__k")).alias("f"))
     spread = counts.unionByName(gaps.filter(F.col("f") > 0)).agg(
-        F.percentile("c", 0.5, "f").alias("p50"), F.percentile("c", 0.95, "f").alias("p95"), F.max("c").alias("top"), F.sum("c").alias("inside"),
+        F.percentile("c", 0.5, F.col("f")).alias("p50"), F.percentile("c", 0.95, F.col("f")).alias("p95"), F.max("c").alias("top"), F.sum("c").alias("inside"),
     )
     one = attach_row(stats, spread)
     short = F.col("span_s") < bucket_s

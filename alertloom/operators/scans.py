@@ -23,7 +23,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate (exactly one row) to every row."""
-    key = "__one"
+    key = "__row_key"
     left = df.withColumn(key, F.lit(0))
     right = one_row.withColumn(key, F.lit(0))
     return left.join(F.broadcast(right), key).drop(key)

@@ -60,9 +60,17 @@ def _or_empty(spark: SparkSession, schema: str | T.StructType, read) -> DataFram
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """JSON lines with a fixed schema; blank and unreadable lines are skipped, a missing
-    path is an empty table."""
-    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
-    return _or_empty(spark, schema, lambda: reader.json(path if isinstance(path, str) else list(path)))
+    path is an empty table.
+
+    Each line is parsed as a one-element array: unlike the JSON reader, this also refuses
+    a line whose object is followed by more text, as two interleaved writes leave it."""
+    def read() -> DataFrame:
+        lines = spark.read.text(path if isinstance(path, str) else list(path))
+        parsed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<struct<{_struct_ddl(schema)}>>")
+        one = lines.select(parsed.alias("r")).filter((F.size("r") == 1) & F.col("r")[0].isNotNull())
+        return one.select(F.col("r")[0].alias("r")).select("r.*")
+
+    return _or_empty(spark, schema, read)
 
 
 def read_json_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -133,7 +141,12 @@ def _clean_steps(rows: DataFrame, host: Column, technique: Column, start: Column
 
 
 def _field(*paths: str) -> Column:
-    """First filled value among JSON paths of the step text; 0 counts as not filled."""
+    """First filled value among JSON paths of the step text."""
+    return F.coalesce(*[C.blank_to_null(F.get_json_object("step", p)) for p in paths])
+
+
+def _time_field(*paths: str) -> Column:
+    """As `_field`, where 0 counts as not filled."""
     return F.coalesce(*[F.nullif(C.blank_to_null(F.get_json_object("step", p)), F.lit("0")) for p in paths])
 
 
@@ -156,7 +169,7 @@ def caldera_steps(reports: DataFrame, column: str = "value") -> DataFrame:
     return _clean_steps(
         rows, F.coalesce(_text_field("$.host"), _field("$.host.hostname"), F.when(F.get_json_object("step", "$.host").isNull(), _field("$.paw"))),
         F.coalesce(_field("$.technique_id"), _field("$.technique.technique_id"), _field("$.attack_id")),
-        _field("$.t_start", "$.decide", "$.start"), _field("$.t_end", "$.finish", "$.status_changed"),
+        _time_field("$.t_start", "$.decide", "$.start"), _time_field("$.t_end", "$.finish", "$.status_changed"),
         _field("$.ability_name", "$.ability_id"), _field("$.command_hash"),
     )
 
@@ -170,7 +183,7 @@ def atomic_steps(reports: DataFrame, column: str = "value") -> DataFrame:
     return _clean_steps(
         rows, F.coalesce(_text_field("$.host"), _field("$.host.hostname"), _field("$.Hostname"), _field("$.ComputerName")),
         F.coalesce(_field("$.technique_id"), _text_field("$.technique"), _field("$.attack_technique")),
-        _field("$.t_start", "$.start"), _field("$.t_end", "$.finish", "$.end"),
+        _time_field("$.t_start", "$.start"), _time_field("$.t_end", "$.finish", "$.end"),
         _field("$.atomic_name", "$.name"), _field("$.command_hash"),
     )
 
@@ -187,6 +200,11 @@ def read_atomic_steps(spark: SparkSession, path: str) -> DataFrame:
     return atomic_steps(_reports(spark, path))
 
 
+def _folder_of(file: str) -> Column:
+    """Name of the folder that holds the file a row was read from."""
+    return F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/" + file.replace(".", "\\."), 1)
+
+
 KIND_FILES = [("caldera", "caldera_op.json"), ("atomic", "atomic_invocations.json"), ("workload", "workload.json")]
 
 
@@ -205,8 +223,8 @@ def read_campaigns(spark: SparkSession, root: str, schema: str = SYSMON_SCHEMA)
     folders without a metadata file are left out."""
     reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
     events = reader.json(f"{root}/*/sysmon.jsonl").select(
-        "*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("campaign_id"),
-        F.concat_ws(":", F.element_at(F.split("_metadata.file_path", "/"), -2), F.xxhash64("*").cast("string")).alias("event_key"),
+        "*", _folder_of("sysmon.jsonl").alias("campaign_id"),
+        F.concat_ws(":", _folder_of("sysmon.jsonl"), F.xxhash64("*").cast("string")).alias("event_key"),
     )
     return events.join(campaign_kinds(spark, root), "campaign_id")
 
@@ -215,7 +233,7 @@ def campaign_steps(spark: SparkSession, root: str) -> DataFrame:
     """Emulation steps of every campaign folder, operation reports before test invocations."""
     def rows(file: str) -> DataFrame:
         return _or_empty(spark, "value string, campaign_id string", lambda: _reports(spark, f"{root}/*/{file}").select(
-            "value", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("campaign_id")))
+            "value", _folder_of(file).alias("campaign_id")))
 
     operations, tests = rows("caldera_op.json"), rows("atomic_invocations.json")
     rest = tests.join(operations.select("campaign_id"), "campaign_id", "left_anti")
@@ -226,7 +244,7 @@ def read_workloads(spark: SparkSession, root: str) -> DataFrame:
     """Class, framework and hard-negative kind of the benign campaign folders."""
     body = "struct<class:string,framework:string,benign_subtype:string,host_list:array<string>,ts_start:double,ts_end:double>"
     rows = _reports(spark, f"{root}/*/workload.json").select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("campaign_id"), F.from_json("value", body).alias("w")
+        _folder_of("workload.json").alias("campaign_id"), F.from_json("value", body).alias("w")
     )
     return rows.select(
         "campaign_id", F.coalesce("w.class", F.lit("normal")).alias("class"), F.coalesce("w.framework", F.lit("scripted")).alias("framework"),
