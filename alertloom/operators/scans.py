@@ -228,3 +228,20 @@ def carry_forward(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[st
     inside = Window.partitionBy(*keys, "__cell").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumn("__own", F.last(value, ignorenulls=True).over(inside))
     return local.join(carried, [*keys, "__cell"]).select(*df.columns, F.coalesce("__own", "__carry").alias(name))
+
+
+def rank_by_sort(df: DataFrame, *order: Column | str, name: str = "rank", total: str = "n_total") -> DataFrame:
+    """1-based position in the order of any columns. One range-partitioned sort; the sorted
+    rows are written once, so the partition sizes that give the offsets cannot change."""
+    from alertloom.session import cut_lineage
+
+    placed = cut_lineage(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33).alias("__part")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias(total)
+    )
+    inside = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("__part", F.shiftright("__m", 33)).join(F.broadcast(starts), "__part")
+    return joined.select(*df.columns, (inside + F.col("__start") + 1).alias(name), total)

@@ -44,3 +44,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application. Needed only by the
+    operators that run Python on the executors."""
+    import shutil
+
+    context = spark.sparkContext
+    if getattr(context, "_alertloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="alertloom-"), "alertloom"), "zip", os.path.dirname(here), "alertloom")
+    context.addPyFile(archive)
+    context._alertloom_shipped = True
