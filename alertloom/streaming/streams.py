@@ -104,13 +104,13 @@ def stream_alerts(
     ship_package(events.sparkSession)
 
     def step(key, batches, state: GroupState):
-        fresh = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         buf, seen, alerted = [], 0, False
         if state.exists:
             *columns, seen, alerted = state.get
             buf = list(zip(*columns))
         found = []
         if not alerted:
+            fresh = pd.concat(list(batches)).sort_values(["ts", "event_id"])
             for row in fresh[STATE_COLUMNS].itertuples(index=False, name=None):
                 buf = buf[-(size - 1):] + [row]
                 seen += 1
@@ -207,10 +207,10 @@ def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def replay(spark: SparkSession, path: str, schema: str, scorer: LinearScorer, tau: float, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+def replay(spark: SparkSession, path: str, schema: str, scorer: LinearScorer, tau: float, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, batch_bytes: str = "1g", **options) -> DataFrame:
     """Replay stored events (Parquet) through the alerter; per campaign: onset, alert, seconds."""
     stored = spark.read.schema(schema).parquet(path)
-    live = spark.readStream.schema(schema).parquet(path)
+    live = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
     if prepare is not None:
         stored, live = prepare(stored), prepare(live)
     alerts = run_to_table(spark, stream_alerts(live, scorer, tau, **options), folder)

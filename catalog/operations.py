@@ -92,10 +92,10 @@ def projection_summary(spark, sf):
 
 
 @query("W17_spend_cutoff", f"""WITH {SP}, r AS (SELECT conv_id AS seq, round(cost_cents, 6) AS c, sum(coalesce(round(cost_cents, 6), 0)) OVER (ORDER BY conv_id ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (ORDER BY conv_id) AS k FROM cost)
-SELECT seq, c AS cost_cents, round(run, 5) AS running_cents, run <= 0.35 AND (run - coalesce(c, 0) < 0.35 OR k = 1) AS runs FROM r""")
+SELECT seq, c AS cost_cents, round(run, 6) AS running_cents, run <= 0.35 AND (run - coalesce(c, 0) < 0.35 OR k = 1) AS runs FROM r""")
 def spend_cutoff(spark, sf):
     cells = spend(spark, sf).select(F.substring("session_id", 2, 20).cast("long").alias("seq"), F.round("cost_cents", 6).alias("cost_cents"))
-    return rounded(T.spend_cutoff(cells, 0.35), {"running_cents": 5})
+    return rounded(T.spend_cutoff(cells, 0.35), {"running_cents": 6})
 
 
 _PROFILE = ["lang", "source", "n_chars"]

@@ -13,13 +13,13 @@ from catalog.models import ACTIONS, window_table
 from catalog.registry import EV, query
 from catalog.web import GAP, RQ, ST, inputs, stitched
 
-HALVES = 4
+BATCH_BYTES = "1g"
 
 
-def as_files(spark, df, path, n=HALVES):
-    """The rows as a folder of files that a stream can pick up one after the other."""
-    df.repartitionByRange(n, "ts").write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def as_files(spark, df, path):
+    """The rows as files in time order, for a stream to pick up in bounded micro-batches."""
+    df.repartitionByRange("ts").write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
 
 
 def linear_scorer(spark, sf):
@@ -38,7 +38,7 @@ def campaign_alerts(spark, sf):
 def replay(spark, sf):
     folder = fresh_folder(spark)
     e = staging.events(spark, sf)
-    e.repartitionByRange(HALVES, "ts").write.parquet(folder + "/in")
+    e.repartitionByRange("ts").write.parquet(folder + "/in")
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields)
     return X.replay(spark, folder + "/in", ddl, linear_scorer(spark, sf), 0.2, folder, actions=ACTIONS)
 
