@@ -191,4 +191,11 @@ SCAN_PATTERNS = [
     ("aws_access_key", r"\bAKIA[A-Z0-9]{16}\b"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{20,}\.eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}"),
 ]
+# Text every hit of a pattern must hold (lower case), a cheap test before the pattern itself.
+SCAN_HINTS = {
+    "raw_ua_mozilla": "mozilla/", "raw_ua_chrome": "chrome/", "raw_ua_firefox": "firefox/", "raw_ua_safari": "safari/",
+    "raw_ua_curl": "curl/", "raw_ua_python": "python-requests/", "raw_ua_wget": "wget/", "auth_header_value": "authorization:",
+    "cookie_header_value": "cookie:", "set_cookie_value": "set-cookie:", "api_key_shape": "sk-",
+    "pem_private_key": "private key-----", "github_pat": "ghp_", "aws_access_key": "akia", "jwt": ".eyj", "ipv4": ".", "ipv6": ":",
+}
 LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"

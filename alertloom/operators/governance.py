@@ -69,10 +69,13 @@ def scan_pii(texts: DataFrame, key: str, text: str = "text", patterns: Sequence[
 
     A text is split into lines only when some pattern hits it somewhere; a line hit is
     always a text hit, so this skips work and loses nothing."""
+    low = texts.withColumn("__low", F.lower(text))
     any_hit = F.lit(False)
-    for _, p in patterns:
-        any_hit = any_hit | F.col(text).rlike(p)
-    lines = texts.filter(any_hit).select(key, F.posexplode(F.split(text, fixed.LINE_BREAKS, -1)).alias("__i", "__line"))
+    for name, p in sorted(patterns, key=lambda x: len(fixed.SCAN_HINTS.get(x[0], "")), reverse=True):
+        hint = fixed.SCAN_HINTS.get(name)
+        hit = F.col(text).rlike(p)
+        any_hit = any_hit | ((F.col("__low").contains(hint) & hit) if hint else hit)
+    lines = low.filter(any_hit).select(key, F.posexplode(F.split(text, fixed.LINE_BREAKS, -1)).alias("__i", "__line"))
     found = [
         F.struct(F.lit(name).alias("pattern"), F.regexp_extract("__line", p, 0).alias("matched")) for name, p in patterns
     ]

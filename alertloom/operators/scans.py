@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN_OUT = 4096
+FAN_OUT_BITS = 12
+FAN_OUT = 1 << FAN_OUT_BITS
 SMALL_PLAN_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 4_000_000
 MAX_HOT_KEYS = 100_000
@@ -41,11 +42,9 @@ def _with_cells(df: DataFrame, order: str, bounds: tuple[float, float] | None, d
         place = F.lit(1.0) - place
     cells = FAN_OUT * FAN_OUT
     cell = F.least(F.greatest(F.floor(place * cells), F.lit(0)), F.lit(cells - 1))
-    return (
-        df.withColumn("__cell", cell.cast("long"))
-        .withColumn("__block", (F.col("__cell") / FAN_OUT).cast("long"))
-        .drop("__lo", "__hi")
-    )
+    # Never null, so the joins on it add no null filter that would split the shared input in two.
+    df = df.withColumn("__cell", F.coalesce(cell.cast("long"), F.lit(0).cast("long")))
+    return df.withColumn("__block", F.shiftright("__cell", FAN_OUT_BITS)).drop("__lo", "__hi")
 
 
 def prefix_sum(
@@ -131,24 +130,19 @@ def exact_percentiles(
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     run = prefix_sum(counts, value, {"__upto": "__n"}, by, totals={"__total": "__upto"})
-    spots = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.col("__total") - 1) * float(p)) for p in probs])
-    low, high = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
-    near = lambda s: (F.ceil(s["col2"]) >= low) & (F.floor(s["col2"]) <= high)
-    hits = run.select(
-        *by, F.col(value).cast("double").alias("__v"), low.alias("__lo"), high.alias("__hi"),
-        F.explode(F.filter(spots, near)).alias("__s"),
+    low, high, top = F.col("__upto") - F.col("__n"), F.col("__upto") - 1, F.col("__total") - 1
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    near = lambda p: (F.ceil(p * top) >= low) & (F.floor(p * top) <= high)
+    hits = run.filter(F.exists(wanted, near)).select(
+        *by, F.col(value).cast("double").alias("__v"), low.alias("__lo"), high.alias("__hi"), top.alias("__top"),
+        F.explode(F.filter(wanted, near)).alias("prob"),
     )
-    at = F.col("__s.col2")
+    at = F.col("prob") * F.col("__top")
     floor_hit = F.when((F.floor(at) >= F.col("__lo")) & (F.floor(at) <= F.col("__hi")), F.col("__v"))
     ceil_hit = F.when((F.ceil(at) >= F.col("__lo")) & (F.ceil(at) <= F.col("__hi")), F.col("__v"))
-    return (
-        hits.groupBy(*by, F.col("__s.prob").alias("prob"), at.alias("__at"))
-        .agg(F.max(floor_hit).alias("__a"), F.max(ceil_hit).alias("__b"))
-        .select(
-            *by, "prob",
-            (F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__at") - F.floor("__at"))).alias("value"),
-        )
-    )
+    ends = hits.groupBy(*by, "prob", at.alias("__at")).agg(F.max(floor_hit).alias("__a"), F.max(ceil_hit).alias("__b"))
+    part = F.col("__at") - F.floor("__at")
+    return ends.select(*by, "prob", (F.col("__a") + (F.col("__b") - F.col("__a")) * part).alias("value"))
 
 
 def rank_in_key(

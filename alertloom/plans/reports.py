@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 from alertloom import fixed
 from alertloom.operators import attribution, economics, governance, models, slices, splits, thresholds, web
 from alertloom.operators.scans import attach_row, exact_percentiles
-from alertloom.operators.windows import aggregate_features, bigram_shares, promote_labels, secs_per_window, window_members, window_tactic
+from alertloom.operators.windows import aggregate_features, bigram_shares, secs_per_window, window_members, window_tactic
 from alertloom.session import cut_lineage
 
 
 def labelled_windows(events: DataFrame, manifest: DataFrame, actions: Sequence[str] = fixed.ACTIONS, **options) -> DataFrame:
     """Window features with campaign label, modal tactic and manifest columns."""
-    members = window_members(promote_labels(events), **options)
+    members = window_members(events, **options)
     features = aggregate_features(members, ["campaign_id", "window_id"], actions)
     named = features.join(window_tactic(members), ["campaign_id", "window_id"])
-    return economics.with_manifest(named, manifest)
+    return economics.with_manifest(promote_windows(named, events), manifest)
+
+
+def promote_windows(windows: DataFrame, events: DataFrame) -> DataFrame:
+    """Give every window the label of its campaign. Windows are far fewer than events, so
+    the label is joined here and not to the events."""
+    top = events.groupBy("campaign_id").agg(F.max("label").cast("int").alias("__label"))
+    return windows.join(top, "campaign_id").withColumn("label", F.col("__label")).drop("__label")
 
 
 def benign_gap(train: DataFrame) -> DataFrame:
@@ -157,10 +164,9 @@ def serving(
 ) -> dict:
     """Train the hybrid scorer on part of the campaigns, tune it to the alarm budget on the
     train part, and measure it on the rest, in alarms per hour and time to detect."""
-    events = promote_labels(events)
     members = window_members(events, **options)
     features = aggregate_features(members, ["campaign_id", "window_id"], actions)
-    windows = cut_lineage(features.join(bigram_shares(members, actions), ["campaign_id", "window_id"]))
+    windows = cut_lineage(promote_windows(features.join(bigram_shares(members, actions), ["campaign_id", "window_id"]), events))
     placed = cut_lineage(splits.group_split(windows, "campaign_id", frac, seed))
     train, test = placed.filter(F.col("fold") == "train"), placed.filter(F.col("fold") == "test")
     scorer = models.fit_hybrid(train, actions, linear=True)

@@ -103,18 +103,25 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def parse_access_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """Combined-format lines -> typed rows; lines of another shape or with a bad time are
-    dropped. Other columns of the input, such as a line number, stay."""
-    text = F.regexp_replace(column, r"[\r\n]+$", "")
-    g = lambda i: F.regexp_extract(text, fixed.ACCESS_LINE, i)
+    dropped. Other columns of the input, such as a line number, stay.
+
+    The pattern runs once per line: it rewrites a matching line into its parts, joined by
+    a character that no field of the format can hold. The generator keeps later filters
+    from repeating it."""
+    mark = "\x01"
+    text = F.regexp_replace(F.translate(column, mark, ""), r"[\r\n]+$", "")
+    parts = F.split(F.regexp_replace(text, fixed.ACCESS_LINE + r"[\s\S]*$", mark.join(f"${i}" for i in range(1, 12))), mark, -1)
+    others = [c for c in lines.columns if c != column]
+    rows = lines.select(*others, F.explode(F.filter(F.array(parts), lambda p: F.size(p) == 11)).alias("p"))
+    g = lambda i: F.col("p")[i - 1]
     uri = g(6)
-    mark = F.instr(uri, "?")
+    query = F.instr(uri, "?")
     number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
-    others = [c for c in lines.columns if c != column]
     when = F.unix_micros(F.try_to_timestamp(g(4), F.lit(fixed.ACCESS_TIME))) / F.lit(1e6)
-    return lines.filter(text.rlike(fixed.ACCESS_LINE)).select(
+    return rows.select(
         *others, when.alias("ts"), g(1).alias("src_ip"), g(5).alias("method"),
-        F.when(mark > 0, F.substring_index(uri, "?", 1)).otherwise(uri).alias("path"),
-        F.when(mark > 0, F.length(uri) - mark).otherwise(0).cast("long").alias("qs_len"),
+        F.when(query > 0, F.substring_index(uri, "?", 1)).otherwise(uri).alias("path"),
+        F.when(query > 0, F.length(uri) - query).otherwise(0).cast("long").alias("qs_len"),
         number(g(8)).cast("int").alias("status"), number(g(9)).alias("resp_bytes"), g(11).alias("ua"), g(10).alias("referer"),
     ).filter(F.col("ts").isNotNull())
 

@@ -207,7 +207,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def replay(spark: SparkSession, path: str, schema: str, scorer: LinearScorer, tau: float, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, batch_bytes: str = "1g", **options) -> DataFrame:
+def replay(spark: SparkSession, path: str, schema: str, scorer: LinearScorer, tau: float, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, batch_bytes: int = 1 << 30, **options) -> DataFrame:
     """Replay stored events (Parquet) through the alerter; per campaign: onset, alert, seconds."""
     stored = spark.read.schema(schema).parquet(path)
     live = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)

@@ -353,3 +353,46 @@ def check_manifest(spark, sf):
 def config_hash(spark, sf):
     e = staging.events(spark, sf)
     return e.select("event_id", C.config_sha({"host": F.col("host"), "depth": F.col("depth"), "action": F.col("action")}).alias("config_sha"))
+
+
+@query("P10_one_campaign", f"WITH {EV} SELECT event_id AS event_key, 'operation-7' AS campaign_id, CAST(event_id % 4 = 0 AS INTEGER) AS label FROM ev")
+def one_campaign(spark, sf):
+    w = cut_lineage(winlog(spark, sf))
+    guids = w.filter(F.col("event_key") % 4 == 0).select(F.col("ProcessGuid").alias("guid"))
+    return N.normalize_campaign(w, "operation-7", guids).select("event_key", "campaign_id", "label")
+
+
+@query("P13_safe_log1p", f"WITH {EV} SELECT event_id, round(CASE WHEN event_id % 3 = 0 OR event_id % 3 = 1 AND depth < 2 THEN 0 ELSE ln(1 + artifact_ai) END, 9) AS log_value FROM ev")
+def safe_log1p(spark, sf):
+    n = F.col("event_id") % 3
+    v = F.when(n == 0, F.lit(float("nan"))).when((n == 1) & (F.col("depth") == 0), -F.col("artifact_ai")).when((n == 1) & (F.col("depth") == 1), None).otherwise(F.col("artifact_ai"))
+    return staging.events(spark, sf).select("event_id", F.round(C.safe_log1p(v), 9).alias("log_value"))
+
+
+@query("P15_hex_scale", f"WITH {EV} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE CAST('0x' || substr(sha256(action), 1, 8) AS BIGINT) / 4294967296.0 END::DOUBLE AS scaled FROM ev")
+def hex_scale(spark, sf):
+    digest = F.substring(F.sha2("action", 256), 1, 8)
+    text = F.when(F.col("event_id") % 10 == 0, "xyz").when(F.col("event_id") % 5 == 0, "").otherwise(digest)
+    return staging.events(spark, sf).select("event_id", C.hex_norm(text).alias("scaled"))
+
+
+@query("J9_rates_by_deployment", f"WITH {WSCORED}, {_TOTAL} SELECT name, deployment, round(fp * windows_per_hour, 6) AS fp_per_hour FROM rates, dep")
+def rates_by_deployment(spark, sf):
+    from alertloom.operators.thresholds import deployment_rows
+
+    rates = E.fp_rates(scored_windows(spark, sf), WTAU).select("name", "fp_rate")
+    shapes = spark.createDataFrame(fixed.DEPLOYMENTS, "name string, hosts int, events_per_sec_per_host double")
+    spread = deployment_rows(rates, shapes)
+    return spread.select("name", "deployment", F.round(F.col("fp_rate") * F.col("windows_per_hour"), 6).alias("fp_per_hour"))
+
+
+@query("S10_deployment_file", f"""WITH {EV}, {_CAL}, r AS (SELECT n_events / span_s / n_hosts AS o, (SELECT quantile_cont(c, 0.95) FROM f) / 3600 / n_hosts AS p FROM nb)
+SELECT name, CAST(h AS INTEGER) AS hosts, round(o, 4) AS events_per_sec_per_host FROM r, (VALUES ('calibrated_small_office_20h', 20), ('calibrated_large_business_400h', 400)) v(name, h)
+UNION ALL SELECT 'calibrated_burst_p95_400h', 400, round(p, 4) FROM r WHERE p > 0""")
+def deployment_file(spark, sf):
+    """The shapes suggested from the events, written as a file and read back."""
+    path = fresh_folder(spark)
+    shapes = E.suggest_deployments(E.calibrate_rates(staging.events(spark, sf), 3600.0), [20, 400])
+    body = F.concat(F.lit('{"deployments":'), F.to_json(F.collect_list(F.struct("name", "hosts", "events_per_sec_per_host"))), F.lit("}"))
+    shapes.agg(body.alias("value")).write.text(path)
+    return logs.read_deployments(spark, path)

@@ -435,3 +435,14 @@ def standardize(spark, sf):
     win = features(spark, sf).select("campaign_id", "window_id", "dt_mean", "ai_artifact_mean")
     scaler = P.fit_scaler(win.filter(F.col("campaign_id").cast("long") % 2 == 0), ["dt_mean", "ai_artifact_mean"])
     return rounded(P.apply_scaler(win, scaler, ["dt_mean", "ai_artifact_mean"]), {"dt_mean": 7, "ai_artifact_mean": 7})
+
+
+@query("S11_split_files", f"WITH {SCORED}, {_SPLITS} SELECT session_id, split FROM spl")
+def split_files(spark, sf):
+    """Splits written to disk and read back through their checksums."""
+    from alertloom.sources import logs
+    from catalog.host import fresh_folder
+
+    path = fresh_folder(spark)
+    logs.write_split(splits(spark, sf).select("session_id", "split"), path)
+    return logs.read_splits(spark, path)

@@ -2,18 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from alertloom.operators import models as M
 from alertloom.operators import slices as S
 from alertloom.operators import thresholds as T
 from alertloom.operators.scans import prefix_sum, rank_in_key
 from alertloom.plans import staging
 from alertloom.streaming import streams as X
 from catalog.host import fresh_folder
-from catalog.models import ACTIONS, window_table
+from catalog.models import ACTIONS
 from catalog.registry import EV, query
 from catalog.web import GAP, RQ, ST, inputs, stitched
+from catalog.windows import rounded
 
-BATCH_BYTES = "1g"
+BATCH_BYTES = 1 << 30
 
 
 def as_files(spark, df, path):
@@ -22,25 +22,31 @@ def as_files(spark, df, path):
     return spark.readStream.schema(df.schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
 
 
-def linear_scorer(spark, sf):
-    train = window_table(spark, sf)
-    return M.fit_logistic(train, M.aggregate_columns(ACTIONS), "label").linear()
+# A fixed linear scorer, so that the alerts have SQL to be compared with.
+SCORER = X.LinearScorer(["depth_max", "distinct_targets"], [0.5, 0.0625], -3.75)
+TAU = 0.51
+TICKS = EV + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY campaign_id) AS n FROM ev),
+tick AS (SELECT *, unnest(generate_series(CAST(ceil(rn / 16.0) AS BIGINT) * 16, least(n, rn + 31), 16)) AS seen FROM r),
+z AS (SELECT campaign_id, seen, arg_max(ts, rn) AS ts, 1 / (1 + exp(-(max(depth) * 0.5 + count(DISTINCT target) * 0.0625 - 3.75))) AS risk FROM tick GROUP BY ALL),
+al AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY seen) AS k FROM z WHERE risk >= 0.51)"""
 
 
-@query("R1_campaign_alerts")
+@query("R1_campaign_alerts", f"WITH {TICKS} SELECT campaign_id, ts, round(risk, 9) AS risk, CAST(seen AS BIGINT) AS events_seen FROM al WHERE k = 1")
 def campaign_alerts(spark, sf):
     folder = fresh_folder(spark)
     live = as_files(spark, staging.events(spark, sf), folder + "/in")
-    return X.run_to_table(spark, X.stream_alerts(live, linear_scorer(spark, sf), 0.2, ACTIONS), folder)
+    return rounded(X.run_to_table(spark, X.stream_alerts(live, SCORER, TAU, ACTIONS), folder), {"risk": 9})
 
 
-@query("R2_replay")
+@query("R2_replay", f"""WITH {TICKS}, s AS (SELECT campaign_id, max(label) AS is_attack, coalesce(min(ts) FILTER (WHERE label = 1), min(ts)) AS onset_ts FROM ev GROUP BY 1)
+SELECT campaign_id, is_attack, onset_ts, al.ts AS alert_ts, round(risk, 9) AS risk, CAST(seen AS BIGINT) AS events_seen, al.ts IS NOT NULL AS detected, al.ts - onset_ts AS mttd_s FROM s LEFT JOIN (SELECT * FROM al WHERE k = 1) al USING (campaign_id)""")
 def replay(spark, sf):
     folder = fresh_folder(spark)
     e = staging.events(spark, sf)
     e.repartitionByRange("ts").write.parquet(folder + "/in")
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields)
-    return X.replay(spark, folder + "/in", ddl, linear_scorer(spark, sf), 0.2, folder, actions=ACTIONS)
+    return rounded(X.replay(spark, folder + "/in", ddl, SCORER, TAU, folder, actions=ACTIONS), {"risk": 9})
 
 
 @query("R3_session_alerts")

@@ -37,7 +37,8 @@ def stitched(spark, sf):
 
 @query("S4_access_log", f"WITH {RQ} SELECT line_id, ts, src_ip, method, path, CAST({_QS.split(' AS ')[0]} AS BIGINT) AS qs_len, CAST(status AS INTEGER) AS status, resp_bytes, ua, referer FROM rq WHERE line_id % 97 <> 0")
 def access_log(spark, sf):
-    return logs.parse_access_log(staging.access_lines(spark, sf))
+    """The text is written first, as a log on disk would be."""
+    return logs.parse_access_log(cut_lineage(staging.access_lines(spark, sf)))
 
 
 @query("W3_stitch_sessions", f"WITH {ST} SELECT line_id, session_id, is_new_session, delta_ms FROM st")
@@ -317,3 +318,19 @@ def alerts_per_hour(spark, sf):
         (F.count_if(F.col("max_rps") >= 2) / F.count(F.lit(1))).alias("rate"), (F.sum("duration_s") / F.count(F.lit(1)) / 60).alias("minutes")
     ).filter(F.col("minutes") > 0)
     return rounded(per.select("family", C.alerts_per_hour(F.col("rate"), F.col("minutes")).alias("alerts_per_hour")), {"alerts_per_hour": 9})
+
+
+@query("S9_release_pair", f"WITH {SESS} SELECT session_id, target_app, y, family, klass, stealth, round(duration_s, 3) AS duration_s, src_label, CAST(1 AS BIGINT) AS n_requests FROM ss")
+def release_pair(spark, sf):
+    """Features and truth written as JSON lines and read back as sessions."""
+    from catalog.host import fresh_folder
+
+    path = fresh_folder(spark)
+    table = cut_lineage(sessions(spark, sf))
+    empty = F.array().cast("array<array<double>>")
+    logs.append(B.public_features(table).withColumn("seq", empty), path + "/features")
+    logs.append(B.truth(table), path + "/truth")
+    rows, seq = logs.read_release(spark, path + "/features", path + "/truth")
+    n = seq.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_requests"))
+    out = rows.join(n, "session_id").select("session_id", "target_app", "y", "family", "klass", "stealth", "duration_s", "src_label", "n_requests")
+    return rounded(out, {"duration_s": 3})
