@@ -66,14 +66,19 @@ class LinearScorer:
     intercept: float
 
 
-def _single_class(train: DataFrame, y: str) -> bool:
-    ends = train.agg(F.min(y).alias("lo"), F.max(y).alias("hi")).first()
-    return ends["lo"] is None or ends["lo"] == ends["hi"]
+def _class_size(train: DataFrame, y: str) -> int:
+    """Number of rows, or 0 when they are all of one class: there is nothing to fit."""
+    ends = train.agg(F.min(y).alias("lo"), F.max(y).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    return 0 if ends["lo"] == ends["hi"] else ends["n"]
+
+
+def single_class(train: DataFrame, y: str) -> bool:
+    return _class_size(train, y) == 0
 
 
 def fit_gbt(train: DataFrame, cols: Sequence[str], y: str = "label", rounds: int = 60, depth: int = 5, step: float = 0.06, seed: int = 0) -> Scorer:
     """Boosted trees on class-balanced rows."""
-    if _single_class(train, y):
+    if single_class(train, y):
         return Scorer(list(cols), None)
     weighted = class_weight(train, y).withColumn("__y", F.col(y).cast("double"))
     stages = [
@@ -85,13 +90,14 @@ def fit_gbt(train: DataFrame, cols: Sequence[str], y: str = "label", rounds: int
 
 def fit_logistic(train: DataFrame, cols: Sequence[str], y: str = "y", c: float = 1.0) -> Scorer:
     """Standardized logistic regression with an L2 term of 1 / (C n)."""
-    if _single_class(train, y):
+    n = _class_size(train, y)
+    if n == 0:
         return Scorer(list(cols), None)
     rows = train.withColumn("__y", F.col(y).cast("double"))
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / (c * rows.count()), maxIter=200, standardization=False),
+        LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / (c * n), maxIter=200, standardization=False),
     ]
     return Scorer(list(cols), Pipeline(stages=stages).fit(rows))
 
@@ -207,7 +213,7 @@ def heldout_families(
         held = of_family & F.col("stealth") if kind == "stealth" else of_family
         rest, left = slices.leave_out(sessions, held)
         usual = scored.filter(of_family & ~F.col("stealth") if kind == "stealth" else of_family)
-        skipped = _single_class(rest, "y")
+        skipped = single_class(rest, "y")
         heldout = fit(rest).score(left, "agent_score")
         one = heldout.agg(F.count(F.lit(1)).alias("n_holdout"), rate(heldout).alias("heldout_rate"))
         row = attach_row(one, usual.agg(rate(usual).alias("in_dist_rate"))).select(

@@ -53,7 +53,7 @@ def alert_fatigue(
     train, held = placed.filter(F.col("fold") == "train").drop("fold"), placed.filter(F.col("fold") == "eval").drop("fold")
     if held.isEmpty():
         held = train
-    if models._single_class(train, "label"):
+    if models.single_class(train, "label"):
         raise ValueError("the train part has a single class: at least one attack and one benign campaign are needed")
     scorer = fit(train)
     scored = cut_lineage(scorer.score(held))

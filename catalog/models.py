@@ -34,7 +34,7 @@ def window_table(spark, sf):
 
 
 def folds(spark, sf):
-    placed = P.group_split(window_table(spark, sf), "campaign_id", 0.3, 1)
+    placed = cut_lineage(P.group_split(window_table(spark, sf), "campaign_id", 0.3, 1))
     return placed.filter(F.col("fold") == "train"), placed.filter(F.col("fold") == "test")
 
 

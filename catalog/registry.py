@@ -4,6 +4,7 @@ typed inputs that `alertloom.plans.staging` derives from the shared tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from alertloom import fixed
 from alertloom.plans import staging
@@ -14,7 +15,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

@@ -114,3 +114,29 @@ def test_release_refuses_personal_data(spark):
     with pytest.raises(ValueError, match="personal data"):
         reports.build_release(s, consent, n_heldout=0)
     assert reports.build_release(s.withColumn("src_label", F.lit("src")), consent, n_heldout=0)["truth"].count() == 20
+
+
+def test_access_log_files(spark, tmp_path):
+    line = '1.2.3.4 - - [10/Oct/2025:13:55:36 +0000] "GET /a?b=c HTTP/1.1" 200 5 "-" "curl/8"'
+    (tmp_path / "a.log").write_text(line + "\nrotated\n")
+    (tmp_path / "b.log").write_text(line + "\n")
+    rows = logs.read_access_log(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and len({r["line_id"] for r in rows}) == 2 and {r["path"] for r in rows} == {"/a"}
+    assert B.stitch_sessions(logs.read_access_log(spark, str(tmp_path))).select("session_id").distinct().count() == 1
+
+
+def test_read_any_by_suffix(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a":1}\n{"a":2}\n')
+    (tmp_path / "x.json").write_text('[{"a":1},\n{"a":2},{"a":3}]')
+    (tmp_path / "x.csv").write_text("a,b\n1,x\n")
+    sizes = [logs.read_any(spark, str(tmp_path / f"x.{s}")).count() for s in ("jsonl", "json", "csv")]
+    assert sizes == [2, 3, 1]
+    with pytest.raises(ValueError):
+        logs.read_any(spark, "x.bin")
+
+
+def test_top_rows_are_limited_before_the_shuffle(spark, sf):
+    from alertloom.operators import rollups
+
+    plan = rollups.profile(staging.events(spark, sf).select("action", "host"))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
