@@ -52,9 +52,11 @@ def stitch_sessions(req: DataFrame, gap_s: float = fixed.SESSION_GAP_S, cell_s:
 
 
 def to_request_rows(
-    stitched: DataFrame, family: str = "prod_traffic", klass: str = "unknown", target_app: str = "prod", ua_limit: int = 300
+    stitched: DataFrame, family: str = "prod_traffic", klass: str = "unknown", target_app: str = "prod", ua_limit: int = 300,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Stitched access rows in the request schema; fields an access log lacks get constants."""
+    """Stitched access rows in the request schema; fields an access log lacks get constants.
+    `keep` names further columns to carry along."""
     header = F.substring(F.sha1(F.concat(C.ua_hash(F.col("ua")), F.lit("|"), F.substring(F.coalesce("referer", F.lit("")), 1, 80))), 1, 8)
     return stitched.select(
         "line_id", "ts", "session_id", "src_ip", F.lit(family).alias("src_label"), "method", "path", "qs_len",
@@ -62,7 +64,7 @@ def to_request_rows(
         header.alias("header_hash"), F.lit(0).alias("header_count"), "delta_ms", "is_new_session",
         F.lit(False).alias("has_auth_header"), F.lit(False).alias("has_cookie_header"), F.lit("").alias("content_type"),
         F.lit(0).alias("elapsed_ms"), F.lit(klass).alias("class"), F.lit(family).alias("family"),
-        F.lit(target_app).alias("target_app"), F.lit("na").alias("security_level"), F.lit(False).alias("stealth"),
+        F.lit(target_app).alias("target_app"), F.lit("na").alias("security_level"), F.lit(False).alias("stealth"), *keep,
     )
 
 

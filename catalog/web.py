@@ -74,7 +74,7 @@ def inputs(spark, sf):
     at = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
     path = F.when(k % 20 == 0, "/__canary").when(k % 20 == 1, "/robots.txt").when(k % 20 == 2, "/__admin_secrets/x").otherwise(F.col("path"))
     req = cut_lineage(
-        B.to_request_rows(s).drop("header_count").join(s.select("line_id", "qs", "referer"), "line_id")
+        B.to_request_rows(s, keep=["qs", "referer"])
         .withColumn("k", (F.col("resp_bytes") / 37).cast("int"))
         .withColumns({
             "src_label": at(["sqlmap", "googlebot", "human_real", "", "other"], k % 5), "class": at(["", "agent", "human"], k % 3),
