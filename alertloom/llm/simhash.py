@@ -15,7 +15,7 @@ from alertloom.llm.common import attach, components, documents, in_batches, stag
 
 SEED = 42
 HOMES_PER_ANCHOR = 512
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 1 << 15
 SLICE = 1 << 16
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -93,8 +93,9 @@ def forest(homes: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarr
     homes, others = np.unique(homes), np.unique(others)
     at_home, at_other = np.searchsorted(values, homes), np.searchsorted(values, others)
     label = np.arange(len(values))
-    for start in range(0, len(others), 256):
-        part = others[start : start + 256]
+    step = max(1, (1 << 21) // max(1, len(homes)))
+    for start in range(0, len(others), step):
+        part = others[start : start + step]
         i, j = np.nonzero(np.bitwise_count(part[:, None] ^ homes[None, :]) <= radius)
         a, b = at_other[start + i], at_home[j]
         while True:
