@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import common, exact, simhash
+from alertloom.llm import common, debruijn, exact, language, lattice, leaks, packing, quality, simhash, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,6 +23,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    split = docs.withColumn("held_out", common.remainder(4) == 2)
+    model = language.learn(common.documents(split.where("not held_out"), "lang"))
+    return language.predict(common.documents(split, "held_out"), model)
+
+
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    found = lattice.score_documents(docs.withColumn("train", common.remainder(5) != 1))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), *found.columns[2:])
+
+
 @query(
     "op3_exact_dedup",
     """
@@ -35,6 +50,33 @@ def op3(spark, sf_dir):
     return exact.exact_dedup(common.table(spark, sf_dir, "documents")).drop("bucket")
 
 
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    return debruijn.remove_repeats(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    return packing.pack(common.table(spark, sf_dir, "documents"))
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark, sf_dir):
+    return leaks.find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf_dir):
+    docs = common.documents(common.table(spark, sf_dir, "documents")).withColumn("held_out", common.remainder(4) == 2)
+    model = quality.fit(docs.where("not held_out"), common.table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model)
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark, sf_dir):
+    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
