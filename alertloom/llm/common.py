@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from alertloom.session import shared_folder, ship_package
 
@@ -25,6 +26,21 @@ def remainder(modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_id(first: bool) -> F.Column:
+    """What tells rows apart that repeat a doc_id or have none: the id, then a hash of the text. Rows without an id come last
+    if `first` (the smallest id wins), else first."""
+    none = F.col("doc_id").isNull()
+    return F.struct((none if first else ~none).alias("rank"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+
+
+def keep_rows(docs: DataFrame, key: F.Column, kept: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of docs, with all their columns, whose key is in the one column of `kept`; of rows with the same key only
+    one if `once`."""
+    name = "__llm_row_key"
+    rows = docs.withColumn(name, key).join(kept.toDF(name).distinct(), name, "left_semi")
+    return (rows.dropDuplicates([name]) if once else rows).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write the rows once to the shared folder and go on from the files: later jobs, and tasks that are run again
     after an executor is lost, read the same rows."""
@@ -34,7 +50,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def in_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """Run fn over Arrow batches of few rows, so that a worker's memory does not grow with the partition."""
     spark = df.sparkSession
     ship_package(spark)

@@ -121,3 +121,14 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
     return in_batches(docs.select(*[f.name for f in keep], "text"), batch, f"{kinds}, lang_pred string, score double, coverage double")
+
+
+def accepted(docs: DataFrame, model: dict, least_coverage: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has letters and at least `least_coverage` of its n-grams in its language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = [identify(t, shared.value) for t in rows.column("text").to_pylist()]
+        return rows.filter(pa.array([lang != "und" and coverage >= least_coverage for lang, _, coverage in found], pa.bool_()))
+
+    return in_batches(docs, batch, docs.schema)

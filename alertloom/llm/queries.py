@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import common, debruijn, exact, language, lattice, leaks, packing, quality, simhash, suffixes
+from alertloom.llm import common, debruijn, exact, language, lattice, leaks, packing, quality, secret_scan, simhash, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,6 +50,17 @@ def op3(spark, sf_dir):
     return exact.exact_dedup(common.table(spark, sf_dir, "documents")).drop("bucket")
 
 
+@query("op4_secret_scan")
+def op4(spark, sf_dir):
+    """Labelled findings are those of three documents in four: 1 where a value of 32 or more hex digits is assigned in quotes."""
+    docs = common.table(spark, sf_dir, "documents")
+    found = secret_scan.candidates(docs, "source")
+    found = common.stage(secret_scan.features(found, secret_scan.dictionary(docs)), "candidates")
+    assigned = F.col("candidate").rlike("^[0-9a-fA-F]{32,}$") & (F.col("quoted") == 1) & F.col("before1").rlike("[=:]$")
+    labelled = found.where(common.remainder(4) != 2).withColumn("label", assigned.cast("int"))
+    return secret_scan.scan(found, secret_scan.fit(labelled))
+
+
 @query("op5_substring_dedup")
 def op5(spark, sf_dir):
     return debruijn.remove_repeats(common.table(spark, sf_dir, "documents")).drop("spans")
