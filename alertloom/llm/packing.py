@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from functools import lru_cache
 
@@ -154,12 +155,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
 
     The plan is made from the count of each length (at most `capacity` numbers, whatever the size of the table): sets that
     dominate are fixed, best fit takes the rest. Pieces then find their place by their rank among those of their
-    length; ranks are counted in `parts` of bounded size, not over a whole length at once. The plan's slots are as few
+    length; ranks are counted within parts, a number that grows with the root of the table, so that neither a part nor the list of parts
+    is large. The plan's slots are as few
     as lengths and rooms allow and independent of the number of pieces, so they are broadcast."""
     spark = docs.sparkSession
     rows = stage(pieces(docs, capacity, path), "pieces")
     total = rows.count()
-    parts = max(1, total >> 16)
+    parts = max(1, math.isqrt(total) // 8)
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
     rows = stage(rows.withColumn("part", salt), "parted") if parts > 1 else rows.withColumn("part", F.lit(0))
     sizes = rows.groupBy("length", "part").count()
