@@ -68,7 +68,7 @@ def learn(rows: DataFrame) -> dict:
                 [pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
             )
 
-    counted = in_batches(rows.where("lang is not null").select("text", "lang"), count, "lang string, gram bigint, n bigint")
+    counted = in_batches(rows.where("lang is not null").select(F.coalesce("text", F.lit("")).alias("text"), "lang"), count, "lang string, gram bigint, n bigint")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     sizes = {r["lang"]: r["total"] for r in totals.collect()}
