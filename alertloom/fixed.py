@@ -61,6 +61,20 @@ MAPPING_HINTS = {
     "artifact_ai": (False, r"ai|artifact|generated|llm|synthetic|gen_?score|model_?score"),
 }
 
+# Points of the mapping suggestion for a matching name, and per field for what the column's values look like.
+MAPPING_NAME_POINTS = 2.0
+MAPPING_VALUE_POINTS = [
+    ("ts", "large number", 1.0),
+    ("campaign_id", "repeats", 0.8),
+    ("action", "few texts", 0.6),
+    ("target", "many texts", 0.5),
+    ("label", "two values, bits", 1.5),
+    ("label", "two values, no bits", 0.8),
+    ("label", "not two values", -1.0),
+    ("depth", "small integer", 0.6),
+    ("artifact_ai", "unit fraction", 0.6),
+]
+
 # Campaign manifest vocabularies.
 CAMPAIGN_CLASSES = ["attack", "normal", "hard_negative"]
 FRAMEWORKS = ["caldera", "atomic", "scripted", "manual"]
@@ -84,7 +98,6 @@ BURST_SHAPES = [
 
 # Collector exclusion catalog (event id, rule group, [(field, condition, value)]).
 EXCLUSION_CATALOG = [
-    (5, "ProcessTerminate", []),
     (10, "ProcessAccess", [
         ("TargetImage", "end with", "\\MsMpEng.exe"),
         ("TargetImage", "end with", "\\WmiPrvSE.exe"),
@@ -110,6 +123,7 @@ EXCLUSION_CATALOG = [
         ("Image", "end with", "\\firefox.exe"),
     ]),
     (23, "FileDelete", [("TargetFilename", "contains", "\\AppData\\Local\\Temp\\")]),
+    (5, "ProcessTerminate", []),
 ]
 
 # Web session vocabularies.

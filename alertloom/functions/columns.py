@@ -111,7 +111,7 @@ def path_bucket(path: Column, buckets: int = 16, exact: bool = False) -> Column:
 
 
 def hex_norm(column: Column) -> Column:
-    """Hex text of up to 8 digits scaled to [0, 1]; anything else is 0."""
+    """Hex text as a share of 16^8; longer text gives more than 1, anything that is not hex 0."""
     ok = column.rlike("^[0-9a-fA-F]+$")
     return F.when(ok, F.conv(column, 16, 10).cast("double") / F.lit(float(16**8))).otherwise(F.lit(0.0))
 

@@ -4,8 +4,10 @@ manifest rules, split access."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +45,21 @@ def _names(schema: T.DataType, path: str) -> list[str]:
     return []
 
 
+def _holds(value: Column, kind: T.DataType, word: str) -> Column:
+    """Whether some text inside a value, at any nesting, contains the word; the names of struct fields are not values."""
+    no = F.lit(False)
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.lower(value).contains(word), no)
+    some = lambda values, inner: F.coalesce(F.exists(values, lambda x: _holds(x, inner, word)), no)
+    if isinstance(kind, T.ArrayType):
+        return some(value, kind.elementType)
+    if isinstance(kind, T.MapType):
+        return some(F.map_keys(value), kind.keyType) | some(F.map_values(value), kind.valueType)
+    if isinstance(kind, T.StructType):
+        return reduce(or_, (_holds(value.getField(f.name), f.dataType, word) for f in kind.fields), no)
+    return no
+
+
 def forbidden_words(df: DataFrame, word: str) -> DataFrame:
     """Where a word occurs: column and field names at any nesting (n null), and values per
     column with the number of rows that contain it."""
@@ -55,8 +72,8 @@ def forbidden_words(df: DataFrame, word: str) -> DataFrame:
         nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
         if not nested and not isinstance(f.dataType, T.StringType):
             continue
-        text = F.to_json(C.quoted(f.name)) if nested else C.quoted(f.name)
-        cells.append(F.struct(F.lit(f"$.{f.name}").alias("path"), F.lit("value").alias("kind"), F.count_if(F.lower(text).contains(word)).alias("n")))
+        held = _holds(C.quoted(f.name), f.dataType, word)
+        cells.append(F.struct(F.lit(f"$.{f.name}").alias("path"), F.lit("value").alias("kind"), F.count_if(held).alias("n")))
     if not cells:
         return named
     found = df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*").filter(F.col("n") > 0)

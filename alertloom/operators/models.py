@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -21,6 +23,8 @@ from alertloom.operators.splits import class_weight, group_split
 from alertloom.operators.windows import FEATURES, bigram_columns, share_columns
 from alertloom.session import cut_lineage
 
+FITS_AT_ONCE = 4
+
 
 @dataclass
 class Scorer:
@@ -36,19 +40,21 @@ class Scorer:
         return out.select(*[c for c in df.columns if c != name], name)
 
     def save(self, path: str) -> None:
-        if self.model is None:
-            raise ValueError("nothing to save: the scorer is a constant")
-        self.model.write().overwrite().save(f"{path}/model")
+        """The model, if there is one, and the columns beside it."""
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(self.cols),)], "cols string").write.mode("overwrite").parquet(f"{path}/columns")
+        spark.createDataFrame([(json.dumps(self.cols), self.model is None)], "cols string, constant boolean").write.mode("overwrite").parquet(f"{path}/columns")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Scorer":
-        cols = json.loads(spark.read.parquet(f"{path}/columns").first()["cols"])
-        return Scorer(cols, PipelineModel.load(f"{path}/model"))
+        saved = spark.read.parquet(f"{path}/columns").first()
+        return Scorer(json.loads(saved["cols"]), None if saved["constant"] else PipelineModel.load(f"{path}/model"))
 
     def linear(self) -> "LinearScorer":
         """The logistic model with its scaling folded in: what a streaming task needs."""
+        if self.model is None:
+            return LinearScorer(list(self.cols), [0.0] * len(self.cols), 0.0)
         scaler, logistic = self.model.stages[1], self.model.stages[2]
         mean, std = scaler.mean.toArray(), scaler.std.toArray()
         safe = [s if s > 0 else 1.0 for s in std]
@@ -76,7 +82,7 @@ def single_class(train: DataFrame, y: str) -> bool:
     return _class_size(train, y) == 0
 
 
-def fit_gbt(train: DataFrame, cols: Sequence[str], y: str = "label", rounds: int = 60, depth: int = 5, step: float = 0.06, seed: int = 0) -> Scorer:
+def fit_gbt(train: DataFrame, cols: Sequence[str], y: str = "label", rounds: int = 300, depth: int = 6, step: float = 0.06, seed: int = 0) -> Scorer:
     """Boosted trees on class-balanced rows."""
     if single_class(train, y):
         return Scorer(list(cols), None)
@@ -97,7 +103,7 @@ def fit_logistic(train: DataFrame, cols: Sequence[str], y: str = "y", c: float =
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / (c * n), maxIter=200, standardization=False),
+        LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / (c * n), maxIter=1000, standardization=False),
     ]
     return Scorer(list(cols), Pipeline(stages=stages).fit(rows))
 
@@ -111,7 +117,7 @@ def fit_order_model(train: DataFrame, actions: Sequence[str] = fixed.ACTIONS, y:
     return fit_logistic(train, bigram_columns(actions), y)
 
 
-def fit_hybrid(train: DataFrame, actions: Sequence[str] = fixed.ACTIONS, y: str = "label", traps: Sequence[str] = (), linear: bool = False, rounds: int = 60) -> Scorer:
+def fit_hybrid(train: DataFrame, actions: Sequence[str] = fixed.ACTIONS, y: str = "label", traps: Sequence[str] = (), linear: bool = False, rounds: int = 300) -> Scorer:
     """Aggregates and order together, plus trap flags when given; leave `traps` empty for
     the ablated head. `linear` gives the form a streaming task can carry."""
     cols = aggregate_columns(actions) + bigram_columns(actions) + list(traps)
@@ -188,7 +194,8 @@ def heldout_families(
     Per agent family: recall when left out against recall in the usual split, `flag` when
     it falls below half. Per benign family: false-alarm rate, `flag` when it more than
     doubles. Per mixed family: the stealth rows left out. Each row needs its own fit, so
-    there are as many fits as families; families are a closed list."""
+    there are as many fits as families; families are a closed vocabulary, and the fits, which do not depend on each
+    other, run side by side."""
     fit = fit or (lambda train: fit_logistic(train, web.SESSION_FEATURES))
     sessions = cut_lineage(sessions)
     parts = cut_lineage(group_split(sessions, "session_id", frac, seed))
@@ -207,8 +214,8 @@ def heldout_families(
     def rate(df: DataFrame):
         return F.avg((df["agent_score"] >= tau).cast("double"))
 
-    out = None
-    for kind, family in cases:
+    def one_case(case):
+        kind, family = case
         of_family = F.col("family") == family
         held = of_family & F.col("stealth") if kind == "stealth" else of_family
         rest, left = slices.leave_out(sessions, held)
@@ -216,11 +223,13 @@ def heldout_families(
         skipped = single_class(rest, "y")
         heldout = fit(rest).score(left, "agent_score")
         one = heldout.agg(F.count(F.lit(1)).alias("n_holdout"), rate(heldout).alias("heldout_rate"))
-        row = attach_row(one, usual.agg(rate(usual).alias("in_dist_rate"))).select(
+        return attach_row(one, usual.agg(rate(usual).alias("in_dist_rate"))).select(
             F.lit(kind).alias("kind"), F.lit(family).alias("family"), F.lit(skipped).alias("skipped"), "n_holdout",
             F.when(~F.lit(skipped), F.col("heldout_rate")).alias("heldout_rate"), "in_dist_rate",
         )
-        out = row if out is None else out.unionByName(row)
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        out = reduce(DataFrame.unionByName, pool.map(one_case, cases))
     ratio = F.when(F.col("in_dist_rate") > 1e-9, F.col("heldout_rate") / F.col("in_dist_rate"))
     fails = F.when(F.col("kind") == "benign_family", F.col("heldout_rate") > 2.0 * F.greatest("in_dist_rate", F.lit(1e-6))).otherwise(
         (F.col("in_dist_rate") > 0) & (F.col("heldout_rate") < 0.5 * F.col("in_dist_rate"))

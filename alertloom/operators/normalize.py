@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alertloom import fixed
 from alertloom.functions import columns as C
 from alertloom.operators.graph import process_depth
-from alertloom.operators.scans import HOT_KEY_ROWS, SMALL_PLAN_BYTES, rank_in_key
+from alertloom.operators.scans import rank_in_key
 
 REQUIRED = ["campaign_id", "ts", "action", "target", "label"]
 
@@ -27,10 +27,10 @@ def adapt_generic(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def with_delta(
     events: DataFrame, key: str = "campaign_id", ts: str = "ts", ties: Sequence[str] = ("event_id",),
-    first: float | None = 0.0, small_bytes: int = SMALL_PLAN_BYTES, hot_rows: int = HOT_KEY_ROWS,
+    first: float | None = 0.0,
 ) -> DataFrame:
     """Seconds since the event before in the same key; `first` (0 or null) for the first one."""
-    ranked = rank_in_key(events, key, ts, list(ties), small_bytes, hot_rows)
+    ranked = rank_in_key(events, key, ts, list(ties))
     gap = F.col(ts) - F.col("prev_ts")
     return ranked.withColumn("delta_s", gap if first is None else F.coalesce(gap, F.lit(first))).drop("rn", "prev_ts")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -176,54 +175,44 @@ def profile(df: DataFrame, exact: bool = True, samples: int = 3) -> DataFrame:
 
 
 def column_facts(df: DataFrame) -> DataFrame:
-    """What the mapping suggestion needs per column: counts, range, and whether it is 0/1."""
-    def cell(f: T.StructField) -> Column:
-        c = C.quoted(f.name)
-        number = isinstance(f.dataType, T.NumericType)
-        ordered = not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
-        low = F.min(c.cast("double")) if number else F.lit(None).cast("double")
-        high = F.max(c.cast("double")) if number else F.lit(None).cast("double")
-        bits = F.coalesce(F.bool_and(c.cast("string").isin("0", "1", "true", "false", "0.0", "1.0")), F.lit(False))
-        return F.struct(
-            F.lit(f.name).alias("column"), (F.approx_count_distinct(c, 0.02) if ordered else F.lit(0)).cast("long").alias("distinct"),
-            F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high"), bits.alias("is_bits"),
-        )
+    """Per column: place, exact number of distinct values, rows, range of its numbers, kind, and whether all values are 0/1.
+    Everything comes from the distinct (column, value) pairs, which are combined before the shuffle."""
+    kinds = {T.StringType: "text", T.IntegralType: "integer", T.FractionalType: "fraction"}
+    kind = lambda f: next((k for t, k in kinds.items() if isinstance(f.dataType, t)), "other")
+    cells = [
+        F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column"), F.lit(kind(f)).alias("kind"), C.quoted(f.name).cast("string").alias("value"))
+        for i, f in enumerate(df.schema.fields)
+    ]
+    pairs = df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.place", "c.column", "c.kind", "c.value").agg(F.count(F.lit(1)).alias("rows"))
+    number = F.when(F.col("kind").isin("integer", "fraction"), F.expr("try_cast(value AS double)"))
+    return pairs.groupBy("place", "column", "kind").agg(
+        F.count("value").alias("distinct"), F.sum("rows").alias("n"), F.min(number).alias("low"), F.max(number).alias("high"),
+        F.coalesce(F.bool_and(F.col("value").isin("0", "1", "true", "false", "0.0", "1.0")), F.lit(False)).alias("is_bits"),
+    )
+
 
-    return df.agg(F.array(*[cell(f) for f in df.schema.fields]).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+def mapping_scores(df: DataFrame) -> DataFrame:
+    """Points of every (field, column) pair: for a hint in the name, and for values that fit the field."""
+    share = F.try_divide("distinct", "n")
+    two, text = F.col("distinct") == 2, F.col("kind") == "text"
+    looks = {
+        "large number": F.col("high") > 1e6, "repeats": (share > 0) & (share < 0.5), "few texts": text & F.col("distinct").between(2, 50),
+        "many texts": text & (F.col("distinct") > 10), "two values, bits": two & F.col("is_bits"), "two values, no bits": two & ~F.col("is_bits"),
+        "not two values": ~two, "small integer": (F.col("kind") == "integer") & (F.col("high") < 50),
+        "unit fraction": (F.col("kind") == "fraction") & (F.col("low") >= 0) & (F.col("high") <= 1),
+    }
+    fields = [F.struct(F.lit(i).alias("turn"), F.lit(f).alias("field"), F.col("column").rlike(f"(?i){hint}").alias("named")) for i, (f, (_, hint)) in enumerate(fixed.MAPPING_HINTS.items())]
+    pairs = column_facts(df).withColumn("f", F.explode(F.array(*fields))).select("*", "f.*")
+    points = sum((F.when((F.col("field") == f) & looks[look], n).otherwise(0.0) for f, look, n in fixed.MAPPING_VALUE_POINTS), F.lit(0.0))
+    return pairs.select("turn", "field", "place", "column", (F.when(F.col("named"), fixed.MAPPING_NAME_POINTS).otherwise(0.0) + points).alias("score"))
 
 
 def suggest_mapping(df: DataFrame) -> DataFrame:
-    """Which source column fits each normalized field: a name hint counts 2, fitting values
-    a little; each column is used once, fields in their listed order. The facts are read
-    in one Spark pass; the choice runs over one small row per column."""
-    kind = {f.name: f.dataType for f in df.schema.fields}
-    facts = {r["column"]: r for r in column_facts(df).collect()}
-    is_text = lambda c: isinstance(kind[c], T.StringType)
-
-    def signal(field: str, c: str) -> float:
-        f = facts[c]
-        number = f["high"] is not None
-        share = f["distinct"] / f["n"] if f["n"] else 0.0
-        if field == "label":
-            return (1.5 if f["is_bits"] else 0.8) if f["distinct"] == 2 else -1.0
-        checks = {
-            "ts": (number and f["high"] > 1e6, 1.0),
-            "campaign_id": (0.0 < share < 0.5, 0.8),
-            "action": (2 <= f["distinct"] <= 50 and is_text(c), 0.6),
-            "target": (f["distinct"] > 10 and is_text(c), 0.5),
-            "depth": (number and isinstance(kind[c], T.IntegralType) and f["high"] < 50, 0.6),
-            "artifact_ai": (number and isinstance(kind[c], T.FractionalType) and f["low"] >= 0 and f["high"] <= 1, 0.6),
-        }
-        fits, bonus = checks[field]
-        return bonus if fits else 0.0
-
-    used, rows = set(), []
-    for field, (required, hint) in fixed.MAPPING_HINTS.items():
-        scores = {c: (2.0 if re.search(hint, c, re.I) else 0.0) + signal(field, c) for c in kind if c not in used}
-        best = max(scores, key=scores.get, default=None)
-        if best is None or scores[best] <= 0:
-            rows.append((field, required, None, 0.0))
-        else:
-            used.add(best)
-            rows.append((field, required, best, round(scores[best], 2)))
+    """Which source column fits each normalized field: the free column with most points (on ties the first), if it has any; fields take
+    their turn in listed order. The pairs are scored by Spark; the choice walks the table of fields times columns once."""
+    taken: dict[str, tuple[str, float]] = {}
+    for r in mapping_scores(df).filter(F.col("score") > 0).orderBy("turn", F.desc("score"), "place").collect():
+        if r["field"] not in taken and r["column"] not in {c for c, _ in taken.values()}:
+            taken[r["field"]] = (r["column"], round(r["score"], 2))
+    rows = [(field, required, *taken.get(field, (None, 0.0))) for field, (required, _) in fixed.MAPPING_HINTS.items()]
     return df.sparkSession.createDataFrame(rows, "field string, required boolean, source string, score double")

@@ -9,17 +9,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.session import cut_lineage
+
 FAN_OUT_BITS = 12
 FAN_OUT = 1 << FAN_OUT_BITS
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
-HOT_KEY_ROWS = 4_000_000
-MAX_HOT_KEYS = 100_000
-MAX_SLICES = 65_536
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the whole input; the same number that decides broadcasts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def group_key(columns: Sequence[str]) -> Column:
+    """The columns as one value that is never null, whatever is null inside: equal groups join, and none is lost."""
+    return F.struct(*columns) if columns else F.lit(0)
+
+
+def in_parts(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Add `__part`: the rows cut into ranges of the order, as many rows in each whatever the values are. Spark finds the cut
+    points in the data; the parts are written once, so that they cannot change when a task is run again."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -30,21 +34,15 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return left.join(F.broadcast(right), key).drop(key)
 
 
-def _with_cells(df: DataFrame, order: str, bounds: tuple[float, float] | None, descending: bool) -> DataFrame:
+def _with_cells(df: DataFrame, by: Sequence[str], first: Column, ties: Sequence[str], order: str, bounds: tuple[float, float] | None, descending: bool) -> DataFrame:
     if bounds is None:
-        ends = df.agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
-        df = attach_row(df, ends)
+        rows = in_parts(df, *by, first, *ties).withColumn("__cell", F.col("__part").cast("long")).drop("__part")
     else:
-        df = df.withColumn("__lo", F.lit(float(bounds[0]))).withColumn("__hi", F.lit(float(bounds[1])))
-    span = F.col("__hi") - F.col("__lo")
-    place = F.when(span > 0, (F.col(order).cast("double") - F.col("__lo")) / span).otherwise(F.lit(0.0))
-    if descending:
-        place = F.lit(1.0) - place
-    cells = FAN_OUT * FAN_OUT
-    cell = F.least(F.greatest(F.floor(place * cells), F.lit(0)), F.lit(cells - 1))
-    # Never null, so the joins on it add no null filter that would split the shared input in two.
-    df = df.withColumn("__cell", F.coalesce(cell.cast("long"), F.lit(0).cast("long")))
-    return df.withColumn("__block", F.shiftright("__cell", FAN_OUT_BITS)).drop("__lo", "__hi")
+        place = (F.col(order).cast("double") - F.lit(float(bounds[0]))) / F.lit(float(bounds[1] - bounds[0]))
+        cells = FAN_OUT * FAN_OUT
+        cell = F.least(F.greatest(F.floor((F.lit(1.0) - place if descending else place) * cells), F.lit(0)), F.lit(cells - 1))
+        rows = df.withColumn("__cell", F.coalesce(cell.cast("long"), F.lit(0).cast("long")))
+    return rows.withColumn("__block", F.shiftright("__cell", FAN_OUT_BITS)).withColumn("__g", group_key(by))
 
 
 def prefix_sum(
@@ -59,37 +57,33 @@ def prefix_sum(
 ) -> DataFrame:
     """Running totals in the order of a numeric column, without a one-task window.
 
-    The order range is cut into FAN_OUT blocks of FAN_OUT cells by value. Totals per
-    cell and per block are small tables with a fixed row bound; rows are ordered only
-    inside their cell and get the totals before it by a join. `sums` maps output
-    name -> input column. `bounds` skips the extra min/max pass when known. `totals` maps
-    further output names -> names in `sums`, for the total of the whole group.
-    The cells depend on values alone, so a re-run task yields the same rows."""
-    by = list(by)
-    rows = _with_cells(df, order, bounds, descending)
-    cells = rows.groupBy(*by, "__block", "__cell").agg(*[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()])
-    blocks = cells.groupBy(*by, "__block").agg(*[F.sum(f"__t_{k}").alias(f"__b_{k}") for k in sums])
-    before_block = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    before_cell = Window.partitionBy(*by, "__block").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    Where the values are spread over known `bounds` (scores, hashes) the range is cut into FAN_OUT blocks of FAN_OUT
+    cells by value, else into parts with about as many rows each (`in_parts`). Totals per cell and per block are small
+    tables; rows are ordered only inside their cell and get the totals before it by a join. Nulls come first in rising
+    order, last in falling order; a null in `by` is a group like any other. `sums` maps output name -> input column. `totals` maps
+    further output names -> names in `sums`, for the total of the whole group."""
+    first = F.col(order).desc() if descending else F.col(order).asc()
+    rows = _with_cells(df, by, first, ties, order, bounds, descending)
+    cells = rows.groupBy("__g", "__block", "__cell").agg(*[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()])
+    blocks = cells.groupBy("__g", "__block").agg(*[F.sum(f"__t_{k}").alias(f"__b_{k}") for k in sums])
+    before_block = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before_cell = Window.partitionBy("__g", "__block").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("__g")
     totals = totals or {}
     block_start = blocks.select(
-        *by, "__block", *[F.coalesce(F.sum(f"__b_{k}").over(before_block), F.lit(0)).alias(f"__s_{k}") for k in sums],
+        "__g", "__block", *[F.coalesce(F.sum(f"__b_{k}").over(before_block), F.lit(0)).alias(f"__s_{k}") for k in sums],
         *[F.sum(f"__b_{k}").over(whole).alias(t) for t, k in totals.items()],
     )
     cell_start = cells.select(
-        *by, "__block", "__cell",
+        "__g", "__block", "__cell",
         *[F.coalesce(F.sum(f"__t_{k}").over(before_cell), F.lit(0)).alias(f"__c_{k}") for k in sums],
     )
-    starts = cell_start.join(block_start, [*by, "__block"]).select(
-        *by, "__cell", *[(F.col(f"__c_{k}") + F.col(f"__s_{k}")).alias(f"__o_{k}") for k in sums], *totals
-    )
-    first = F.col(order).desc() if descending else F.col(order).asc()
-    inside = (
-        Window.partitionBy(*by, "__cell").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = cell_start.join(block_start, ["__g", "__block"]).select(
+        "__g", "__cell", *[(F.col(f"__c_{k}") + F.col(f"__s_{k}")).alias(f"__o_{k}") for k in sums], *totals
     )
+    inside = Window.partitionBy("__g", "__cell").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select("*", *[F.sum(v).over(inside).alias(f"__l_{k}") for k, v in sums.items()])
-    joined = local.join(starts, [*by, "__cell"])
+    joined = local.join(starts, ["__g", "__cell"])
     return joined.select(*df.columns, *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums], *totals)
 
 
@@ -145,57 +139,22 @@ def exact_percentiles(
     return ends.select(*by, "prob", (F.col("__a") + (F.col("__b") - F.col("__a")) * part).alias("value"))
 
 
-def rank_in_key(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    ties: Sequence[str],
-    small_bytes: int = SMALL_PLAN_BYTES,
-    hot_rows: int = HOT_KEY_ROWS,
-) -> DataFrame:
-    """Add `rn` (0-based position in the key by ts, ties) and `prev_ts`.
-
-    An input whose whole plan is small is one window over the key. Otherwise keys with
-    more than `hot_rows` rows are cut into time slices that are ordered apart from each
-    other; slice totals give the offsets. The limit grows with the input so that at
-    most MAX_HOT_KEYS keys are hot, which bounds the broadcast below."""
-    if plan_bytes(df) <= small_bytes:
-        w = Window.partitionBy(key).orderBy(ts, *ties)
-        return df.withColumn("rn", (F.row_number().over(w) - 1).cast("long")).withColumn("prev_ts", F.lag(ts).over(w))
-    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    total = stats.agg(F.sum("__n").alias("__all"))
-    limit = F.greatest(F.lit(hot_rows).cast("double"), F.col("__all") / MAX_HOT_KEYS)
-    hot = (
-        attach_row(stats, total)
-        .filter(F.col("__n") > limit)
-        .select(
-            key, "__lo", "__hi",
-            F.least(F.lit(MAX_SLICES), F.ceil(F.col("__n") / limit) * 16).cast("long").alias("__slices"),
-        )
-    )
-    span = F.col("__hi") - F.col("__lo")
-    part = F.when(span > 0, F.floor((F.col(ts) - F.col("__lo")) / span * F.col("__slices"))).otherwise(F.lit(0))
-    sliced = df.join(F.broadcast(hot), key, "left").withColumn(
-        "__slice", F.coalesce(F.least(part, F.col("__slices") - 1), F.lit(0)).cast("long")
-    )
-    w = Window.partitionBy(key, "__slice").orderBy(ts, *ties)
-    local = sliced.withColumn("__rn", (F.row_number().over(w) - 1).cast("long")).withColumn("__prev", F.lag(ts).over(w))
-    order = Window.partitionBy(key).orderBy("__slice")
-    slices = (
-        sliced.filter(F.col("__slices").isNotNull())
-        .groupBy(key, "__slice")
-        .agg(F.count(F.lit(1)).alias("__m"), F.max(ts).alias("__last"))
-        .select(
-            key, "__slice",
-            F.sum("__m").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-            F.lag("__last").over(order).alias("__prev_last"),
-        )
-    )
-    return (
-        local.join(slices, [key, "__slice"], "left")
-        .withColumn("rn", F.col("__rn") + F.coalesce("__before", F.lit(0)))
-        .withColumn("prev_ts", F.coalesce("__prev", "__prev_last"))
-        .select(*df.columns, "rn", "prev_ts")
+def rank_in_key(df: DataFrame, key: str, ts: str, ties: Sequence[str]) -> DataFrame:
+    """Add `rn` (0-based position in the key by ts, ties) and `prev_ts`. Rows without a key are one group.
+
+    The rows are cut into parts by key, time and ties, so a key with a burst, or with a third of all rows, is spread over
+    many. A part continues at most one key of the part before it; what it needs from there is a table with at most
+    one row per part, which is broadcast."""
+    parts = in_parts(df, key, ts, *ties).withColumn("__g", group_key([key]))
+    inside = Window.partitionBy("__g", "__part").orderBy(ts, *ties)
+    local = parts.withColumn("__rn", (F.row_number().over(inside) - 1).cast("long")).withColumn("__prev", F.lag(ts).over(inside))
+    order = Window.partitionBy("__g").orderBy("__part")
+    slices = parts.groupBy("__g", "__part").agg(F.count(F.lit(1)).alias("__m"), F.max(ts).alias("__last"))
+    continued = slices.select(
+        "__g", "__part", F.sum("__m").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.lag("__last").over(order).alias("__prev_last")
+    ).filter(F.col("__before").isNotNull())
+    return local.join(F.broadcast(continued), ["__g", "__part"], "left").select(
+        *df.columns, (F.col("__rn") + F.coalesce("__before", F.lit(0))).alias("rn"), F.coalesce("__prev", "__prev_last").alias("prev_ts")
     )
 
 
@@ -213,22 +172,19 @@ def carry_forward(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[st
 
     Rows are ordered only inside a time cell; a per-cell table carries values between
     cells, so the part of a key one task sees is bounded by the time span, not its rows."""
-    keys = list(keys)
-    rows = df.withColumn("__cell", time_cell(F.col(ts), cell_s))
+    rows = df.withColumn("__cell", time_cell(F.col(ts), cell_s)).withColumn("__g", group_key(keys))
     known = F.col(value).isNotNull()
-    cells = rows.groupBy(*keys, "__cell").agg(F.max_by(value, F.when(known, F.struct(ts, *ties))).alias("__v"))
-    earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.select(*keys, "__cell", F.last("__v", ignorenulls=True).over(earlier).alias("__carry"))
-    inside = Window.partitionBy(*keys, "__cell").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = rows.groupBy("__g", "__cell").agg(F.max_by(value, F.when(known, F.struct(ts, *ties))).alias("__v"))
+    earlier = Window.partitionBy("__g").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select("__g", "__cell", F.last("__v", ignorenulls=True).over(earlier).alias("__carry"))
+    inside = Window.partitionBy("__g", "__cell").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumn("__own", F.last(value, ignorenulls=True).over(inside))
-    return local.join(carried, [*keys, "__cell"]).select(*df.columns, F.coalesce("__own", "__carry").alias(name))
+    return local.join(carried, ["__g", "__cell"]).select(*df.columns, F.coalesce("__own", "__carry").alias(name))
 
 
 def rank_by_sort(df: DataFrame, *order: Column | str, name: str = "rank", total: str = "n_total") -> DataFrame:
     """1-based position in the order of any columns. One range-partitioned sort; the sorted
     rows are written once, so the partition sizes that give the offsets cannot change."""
-    from alertloom.session import cut_lineage
-
     placed = cut_lineage(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
     part = F.shiftright("__m", 33).alias("__part")
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))

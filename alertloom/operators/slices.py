@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed
 from alertloom.functions import columns as C
-from alertloom.operators.scans import attach_row, rank_rows
+from alertloom.operators.scans import attach_row, group_key, rank_rows
 from alertloom.operators.windows import modal
 
 BENIGN_KINDS = ["benign_bot", "human"]
@@ -73,15 +73,18 @@ def rate_by_target(scored: DataFrame, tau: float, score: str = "agent_score") ->
 
 
 def rate_by_stealth(scored: DataFrame, tau: float, score: str = "agent_score") -> DataFrame:
-    """Stealth totals and family x stealth cells in one pass; family is null on the totals."""
+    """Stealth totals and family x stealth cells in one pass; family is null on the totals, blank and missing families
+    have no cell."""
     sets = [[F.col("stealth")], [F.col("family"), F.col("stealth")]]
-    out = scored.groupingSets(sets, "family", "stealth").agg(
+    rows = scored.withColumn("family", F.coalesce("family", F.lit("")))
+    out = rows.groupingSets(sets, "family", "stealth").agg(
+        F.grouping("family").alias("__all"),
         F.count(F.lit(1)).alias("n"), _alerts(score, tau).alias("alerts"), *_truth_counts(),
         F.min_by("klass", "session_id").alias("__kind"),
     )
     rate = F.col("alerts") / F.col("n")
-    kind = F.when(F.col("family").isNotNull(), F.col("__kind"))
-    return out.select(
+    kind = F.when(F.col("__all") == 0, F.col("__kind"))
+    return out.filter((F.col("__all") == 1) | (F.col("family") != "")).select(
         "family", "stealth", "n", "alerts", "n_agent_truth", "n_benign_truth", rate.alias("alert_rate"),
         kind.alias("kind"), *_kind_rates(kind, rate),
     )
@@ -218,9 +221,9 @@ def rank_leaderboard(entries: DataFrame, metric: str, groups: Sequence[str] = ("
     value = F.when(~F.isnan(metric), F.col(metric))
     rows = entries.withColumn("__has", value.isNotNull()).withColumn("__v", F.coalesce(value, F.lit(0.0)))
     ranked = rank_rows(rows, "__v", [*groups, "__has"], [tie], descending=True, name="__r")
-    counted = rows.groupBy(*groups).agg(F.count_if("__has").alias("__n"))
+    counted = rows.groupBy(group_key(groups).alias("__g")).agg(F.count_if("__has").alias("__n"))
     shift = F.when(F.col("__has"), 0).otherwise(F.col("__n"))
-    return ranked.join(counted, groups).select(*entries.columns, (F.col("__r") + shift).alias("rank"))
+    return ranked.withColumn("__g", group_key(groups)).join(counted, "__g").select(*entries.columns, (F.col("__r") + shift).alias("rank"))
 
 
 def seed_summary(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed
 from alertloom.functions import columns as C
-from alertloom.operators.scans import HASH_BOUNDS, attach_row, hash_order, rank_rows
+from alertloom.operators.scans import HASH_BOUNDS, attach_row, group_key, hash_order, rank_rows
 from alertloom.session import cut_lineage
 
 
@@ -21,10 +21,12 @@ def hash_rank(keys: DataFrame, key: str, seed: int | str, by: Sequence[str] = ()
 
 
 def group_split(df: DataFrame, group: str, frac: float = 0.25, seed: int = 0) -> DataFrame:
-    """Add `fold` (test or train); whole groups go to one side, ceil(frac x groups) to test."""
+    """Add `fold` (test or train); whole groups go to one side, ceil(frac x groups) to
+    test; rows without a group are one."""
     ranked = hash_rank(df.select(group).distinct(), group, seed)
     fold = F.when(F.col("rank") <= F.ceil(F.col("n_total") * frac), "test").otherwise("train")
-    return df.join(ranked.select(group, fold.alias("fold")), group)
+    folds = ranked.select(group_key([group]).alias("__g"), fold.alias("fold"))
+    return df.withColumn("__g", group_key([group])).join(folds, "__g").drop("__g")
 
 
 def stratified_split(campaigns: DataFrame, frac: float = 0.75, seed: int = 0, strata: Sequence[str] = ("class", "framework", "benign_subtype"), key: str = "campaign_id") -> DataFrame:
@@ -94,22 +96,20 @@ def benchmark_splits(
     return public.unionByName(placed.filter(F.col("split").isNotNull()))
 
 
-def split_checksum(key: str = "session_id"):
-    """A checksum of a set of ids that does not depend on their order: the sum of 52-bit
-    id hashes. It needs no sorted list, so a split of any size is combined map-side."""
-    return F.sum(F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 13), 16, 10).cast("decimal(20,0)"))
+def split_checksums(key: str = "session_id") -> list:
+    """Two checksums of a set of ids that do not depend on their order: sums of two 52-bit pieces of the id hashes. They need
+    no sorted list, so a split of any size is combined map-side."""
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    return [
+        F.sum(F.conv(F.substring(digest, at, 13), 16, 10).cast("decimal(20,0)")).cast("string").alias(name)
+        for at, name in ((1, "ids_checksum"), (14, "ids_checksum_2"))
+    ]
 
 
-def split_summary(splits: DataFrame, listed_limit: int = 100_000) -> DataFrame:
-    """Per split: size, order-free checksum, and the sha256 of the sorted id list where the
-    list is short enough to be one value (that is the checksum a split file carries)."""
-    splits = cut_lineage(splits.select("split", "session_id"))
-    sums = splits.groupBy("split").agg(F.count(F.lit(1)).alias("n"), split_checksum().cast("string").alias("ids_checksum"))
-    short = sums.filter(F.col("n") <= listed_limit).select("split")
-    listed = splits.join(short, "split", "left_semi").groupBy("split").agg(
-        C.sorted_ids_sha256(F.collect_list("session_id")).alias("sha256")
-    )
-    return sums.join(listed, "split", "left")
+def split_summary(splits: DataFrame) -> DataFrame:
+    """Per split: size and two order-free checksums of its ids. (The sha256 of the sorted ids belongs to a split file, which
+    holds the list as one value: see `sources.logs`.)"""
+    return splits.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *split_checksums())
 
 
 def split_counts(splits: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed
 from alertloom.functions import columns as C
-from alertloom.operators.scans import carry_forward, time_cell
+from alertloom.operators.scans import carry_forward, group_key, time_cell
 
 REQUEST_FEATURES = [
     "log_delta", "status_scaled", "is_post", "path_bucket", "log_req_bytes", "log_resp_bytes", "ua_score",
@@ -29,10 +29,10 @@ def stitch_sessions(req: DataFrame, gap_s: float = fixed.SESSION_GAP_S, cell_s:
     are decided on a table of cells. Rows are ordered only inside their cell.
     req: line_id, ts, src_ip, ua."""
     cell_s = min(float(cell_s), float(gap_s))
-    keys = ["src_ip", "uah"]
     rows = req.withColumn("uah", C.ua_hash(F.col("ua"))).withColumn("__cell", time_cell(F.col("ts"), cell_s))
-    cells = rows.groupBy(*keys, "__cell").agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"))
-    order = Window.partitionBy(*keys).orderBy("__cell")
+    rows = rows.withColumn("__g", group_key(["src_ip", "uah"]))
+    cells = rows.groupBy("__g", "__cell").agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"))
+    order = Window.partitionBy("__g").orderBy("__cell")
     cells = cells.withColumn("__prev", F.lag("__last").over(order)).withColumn(
         "__new", F.col("__prev").isNull() | (F.col("__first") - F.col("__prev") > gap_s)
     )
@@ -40,8 +40,8 @@ def stitch_sessions(req: DataFrame, gap_s: float = fixed.SESSION_GAP_S, cell_s:
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     cells = cells.withColumn("__start", start).drop("__first", "__last")
-    inside = Window.partitionBy(*keys, "__cell").orderBy("ts", "line_id")
-    local = rows.withColumn("__before", F.lag("ts").over(inside)).join(cells, [*keys, "__cell"])
+    inside = Window.partitionBy("__g", "__cell").orderBy("ts", "line_id")
+    local = rows.withColumn("__before", F.lag("ts").over(inside)).join(cells, ["__g", "__cell"])
     is_new = F.col("__before").isNull() & F.col("__new")
     last = F.coalesce("__before", "__prev")
     sid = F.substring(F.sha1(F.concat_ws("|", "src_ip", "uah", F.bround("__start").cast("long").cast("string"))), 1, 24)

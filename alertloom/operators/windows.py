@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom import fixed
-from alertloom.operators.scans import HOT_KEY_ROWS, SMALL_PLAN_BYTES, attach_row, exact_percentiles, rank_in_key
+from alertloom.operators.scans import exact_percentiles, group_key, rank_in_key
 
 FEATURES = [
     "dt_mean", "dt_median", "dt_std", "events_per_sec", "distinct_targets", "target_churn",
@@ -26,13 +26,11 @@ def window_members(
     stride: int = fixed.WINDOW_STRIDE,
     key: str = "campaign_id",
     ties: Sequence[str] = ("event_id",),
-    small_bytes: int = SMALL_PLAN_BYTES,
-    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """One row per (window, event): `window_id`, `pos` in the window and `dt` to the event
     before it. An event lies in size/stride windows. Windows never cross a campaign.
     Windows too short to count are still present; `complete` drops them."""
-    ranked = rank_in_key(events, key, "ts", list(ties), small_bytes, hot_rows)
+    ranked = rank_in_key(events, key, "ts", list(ties))
     first = F.greatest(F.lit(0), F.ceil((F.col("rn") - (size - 1)) / stride)).cast("long")
     last = F.floor(F.col("rn") / stride).cast("long")
     spread = ranked.select(*events.columns, "rn", "prev_ts", F.explode(F.sequence(first, last)).alias("window_id"))
@@ -173,9 +171,10 @@ def window_multihot(members: DataFrame, labels: Sequence[str] = fixed.TACTICS, s
 
 
 def promote_labels(events: DataFrame, key: str = "campaign_id") -> DataFrame:
-    """Give every event the label of its campaign (attack if any event is)."""
-    top = events.groupBy(key).agg(F.max("label").cast("int").alias("__label"))
-    return events.join(top, key).withColumn("label", F.col("__label")).drop("__label").select(*events.columns)
+    """Give every event the label of its campaign (attack if any event is); events without a campaign count as one."""
+    rows = events.withColumn("__g", group_key([key]))
+    top = rows.groupBy("__g").agg(F.max("label").cast("int").alias("__label"))
+    return rows.join(top, "__g").withColumn("label", F.col("__label")).drop("__label").select(*events.columns)
 
 
 def secs_per_window(windows: DataFrame, size: int = fixed.WINDOW_EVENTS) -> DataFrame:
@@ -215,6 +214,3 @@ def bigram_shares(members: DataFrame, actions: Sequence[str] = fixed.ACTIONS, si
 def bigram_columns(actions: Sequence[str] = fixed.ACTIONS) -> list[str]:
     return [f"seq_{a}_{b}" for a in actions for b in actions]
 
-
-def attach_secs(windows: DataFrame, spw: DataFrame) -> DataFrame:
-    return attach_row(windows, spw)

@@ -40,11 +40,11 @@ def alert_fatigue(
     events: DataFrame, manifest: DataFrame, budget: float = 1.0, actions: Sequence[str] = fixed.ACTIONS,
     deployments: Sequence[tuple] | DataFrame = fixed.DEPLOYMENTS, bursts: Sequence[tuple] = fixed.BURST_SHAPES,
     frac: float = 0.75, seed: int = 0, fit: Callable[[DataFrame], models.Scorer] | None = None,
-    attribution_eids: Sequence[int] | None = None, recall_weight: float = 100.0, **options,
+    attribute: bool = False, recall_weight: float = 100.0, **options,
 ) -> dict[str, DataFrame]:
     """Train on a stratified part of the campaigns, pick the threshold that keeps false
     alarms in budget on the rest, and report what that means for each deployment.
-    With `attribution_eids`, also what each event id costs and brings."""
+    With `attribute`, also what each event id costs and brings."""
     fit = fit or (lambda train: models.fit_gbt(train, models.aggregate_columns(actions), seed=seed))
     windows = cut_lineage(labelled_windows(events, manifest, actions, **options))
     present = manifest.join(windows.select("campaign_id").distinct(), "campaign_id", "left_semi")
@@ -78,10 +78,10 @@ def alert_fatigue(
         "daily_distribution": economics.daily_distribution(daily),
         "sweep": thresholds.sweep_tau(scored, deployments),
     }
-    if attribution_eids is not None:
+    if attribute:
         of_class = lambda names: events.join(manifest.filter(F.col("class").isin(names)).select("campaign_id"), "campaign_id", "left_semi")
-        benign = cut_lineage(attribution.eid_dropout_fp(of_class(["normal"]), scorer.score, tau, attribution_eids, actions, **options))
-        attack = cut_lineage(attribution.eid_dropout_detect(of_class(["attack"]), scorer.score, tau, attribution_eids, actions, **options))
+        benign = cut_lineage(attribution.eid_dropout_fp(of_class(["normal"]), scorer.score, tau, actions, **options))
+        attack = cut_lineage(attribution.eid_dropout_detect(of_class(["attack"]), scorer.score, tau, actions, **options))
         report["eid_benign"], report["eid_attack"] = benign, attack
         report["eid_contributions"] = economics.eid_contributions(benign, deployments)
         report["eid_cost_benefit"] = economics.eid_cost_benefit(benign, attack, deployments, recall_weight)

@@ -27,13 +27,18 @@ def build_session(app: str = "alertloom", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in spark.checkpoint.dir. A temporary
-    folder is used only where that setting is absent, as in a local test."""
+    """The shared folder named by the cluster in spark.checkpoint.dir. A folder of the driver's machine is used only in local
+    mode without that setting, as in a test; on a cluster a missing setting is an error, as executors would not share the files.
+
+    Everything the library writes lies below this folder: checkpoints, staged tables (`llm/`) and the `run-*` folders of
+    queries. None of it is needed once the application has ended; whoever owns the folder can then empty it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is not None:
         return spark.sparkContext.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return os.path.join(tempfile.gettempdir(), "alertloom-checkpoints")
 
 

@@ -297,19 +297,20 @@ def write_split(splits: DataFrame, path: str, version: str = "v1") -> None:
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """Splits written by `write_split`, refused when ids no longer match their checksum."""
-    from alertloom.operators.splits import split_checksum
+    from alertloom.operators.splits import split_checksums
 
     ids = spark.read.parquet(f"{path}/ids")
-    now = ids.groupBy("split").agg(split_checksum().cast("string").alias("now"))
-    summary = spark.read.parquet(f"{path}/summary")
-    wrong = summary.join(now, "split", "full").filter(~F.col("ids_checksum").eqNullSafe(F.col("now")))
+    now = ids.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *split_checksums())
+    summary = spark.read.parquet(f"{path}/summary").select("split", *[F.col(c).alias(f"was_{c}") for c in now.columns[1:]])
+    same = [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in now.columns[1:]]
+    wrong = summary.join(now, "split", "full").filter(~(same[0] & same[1] & same[2]))
     if not wrong.isEmpty():
         raise ValueError(f"checksum mismatch in {path}: the split has been edited")
     return ids.select("session_id", "split")
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of split files in JSON form, refused when `__checksum` does not match the ids."""
+    """Ids of split files in JSON form (one file is one value in one row, as its checksum is over its whole list), refused when `__checksum` does not match the ids."""
     rows = spark.read.schema("split string, session_ids array<string>, __checksum string").option("multiLine", True).json(path)
     wrong = rows.filter(~C.sorted_ids_sha256(F.coalesce("session_ids", F.array().cast("array<string>"))).eqNullSafe(F.col("__checksum")))
     if not wrong.isEmpty():

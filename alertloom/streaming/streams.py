@@ -55,9 +55,10 @@ def stream_rates(rows: DataFrame, keys: Sequence[str], window: str = "60 seconds
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "json"):
-    """Append each micro-batch to a folder; readers take the latest row per key."""
+    """Put each micro-batch into a folder of its own number below `path`; a batch that is run again replaces itself, so no
+    row is there twice. Readers see the number as the column `batch` and take the latest row per key."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").format(fmt).save(path)
+        batch.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -70,7 +71,7 @@ def window_vector(buffer: pd.DataFrame, actions: Sequence[str]) -> dict[str, flo
     gaps = gaps[gaps >= 0]
     acts = buffer["action"].tolist()
     targets = buffer["target"].nunique()
-    depth, ai = buffer["depth"].to_numpy(dtype=float), buffer["artifact_ai"].to_numpy(dtype=float)
+    depth, ai = (np.nan_to_num(pd.to_numeric(buffer[c]).to_numpy(dtype=float)) for c in ("depth", "artifact_ai"))
     stat = lambda f: float(f(gaps)) if len(gaps) else 0.0
     out = {
         "dt_mean": stat(np.mean), "dt_median": stat(np.median), "dt_std": stat(np.std), "events_per_sec": n / (ts[-1] - ts[0] + 1e-6),
@@ -96,21 +97,28 @@ ALERT_STATE = "ts array<double>, action array<string>, target array<string>, dep
 
 def stream_alerts(
     events: DataFrame, scorer: LinearScorer, tau: float, actions: Sequence[str] = fixed.ACTIONS,
-    size: int = fixed.WINDOW_EVENTS, stride: int = fixed.WINDOW_STRIDE,
+    size: int = fixed.WINDOW_EVENTS, stride: int = fixed.WINDOW_STRIDE, idle: str = "30 days", delay: str = "1 day",
 ) -> DataFrame:
     """First alert of each campaign. The last `size` events are kept; after every `stride`
-    events, once half a window is there, they are scored. A campaign alerts once."""
+    events, once half a window is there, they are scored. A campaign alerts once; its state is dropped when it has been
+    silent for `idle` of event time, and one that comes back after that starts anew. A missing action, target, depth or score stays
+    missing in the state: it is no target and no action, and counts as 0 in depth and score."""
     actions = list(actions)
     ship_package(events.sparkSession)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         buf, seen, alerted = [], 0, False
         if state.exists:
             *columns, seen, alerted = state.get
             buf = list(zip(*columns))
         found = []
+        fresh = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        latest = int(fresh["ts"].iloc[-1] * 1000)
         if not alerted:
-            fresh = pd.concat(list(batches)).sort_values(["ts", "event_id"])
             for row in fresh[STATE_COLUMNS].itertuples(index=False, name=None):
                 buf = buf[-(size - 1):] + [row]
                 seen += 1
@@ -122,16 +130,14 @@ def stream_alerts(
                     found.append((key[0], float(row[0]), risk, seen))
                     buf = []
                     break
+        known = lambda values, kind: [None if pd.isna(x) else kind(x) for x in values]
         ts, action, target, depth, ai = (list(c) for c in zip(*buf)) if buf else ([], [], [], [], [])
-        state.update((
-            [float(x) for x in ts], [str(x) for x in action], [str(x) for x in target], [int(x) for x in depth],
-            [float(x) for x in ai], int(seen), alerted,
-        ))
+        state.update((known(ts, float), known(action, str), known(target, str), known(depth, int), known(ai, float), int(seen), alerted))
+        state.setTimeoutTimestamp(max(latest + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(found, columns=["campaign_id", "ts", "risk", "events_seen"])
 
-    return events.select("campaign_id", "event_id", *STATE_COLUMNS).groupBy("campaign_id").applyInPandasWithState(
-        step, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    rows = with_lateness(events.select("campaign_id", "event_id", *STATE_COLUMNS), delay)
+    return rows.groupBy("campaign_id").applyInPandasWithState(step, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 SESSION_STATE = "n long, sum_d double, sum_d2 double, n_d long, c4 long, c5 long, t0 double, t1 double, run int, done boolean"

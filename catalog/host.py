@@ -41,6 +41,18 @@ def json_lines(spark, sf):
     return logs.read_jsonl(spark, path, "event_id long, campaign_id string, ts double, action string, depth int")
 
 
+@query("S2_json_arrays", f"WITH {EV} SELECT event_id, campaign_id, ts, action, depth FROM ev")
+def json_arrays(spark, sf):
+    """Files of 500 events each, every second one with its array under "events"."""
+    path = fresh_folder(spark)
+    e = staging.events(spark, sf).select("event_id", "campaign_id", "ts", "action", "depth")
+    text = F.to_json(F.collect_list(F.struct(*e.columns)))
+    files = e.groupBy(F.floor(F.col("event_id") / 500).alias("file")).agg(text.alias("value"))
+    wrapped = F.when(F.col("file") % 2 == 1, F.concat(F.lit('{"events":'), "value", F.lit("}"))).otherwise(F.col("value"))
+    files.select("file", wrapped.alias("value")).write.partitionBy("file").text(path)
+    return logs.read_json_events(spark, path + "/*", "event_id long, campaign_id string, ts double, action string, depth int")
+
+
 @query("S3_csv_and_parquet", f"WITH {EV} SELECT event_id, action, artifact_ai FROM ev")
 def csv_and_parquet(spark, sf):
     path = fresh_folder(spark)
@@ -60,13 +72,15 @@ def append_twice(spark, sf):
     return spark.read.parquet(path)
 
 
-def _step_reports(spark, sf, fields):
+def _step_reports(spark, sf, fields, flat=False):
     """One JSON report per step, in several of the shapes the readers accept."""
     s = staging.steps(spark, sf)
     kind = F.col("step_id") / 50 % 4
     iso = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     plain = F.struct(F.col("host"), F.col("technique_id"), F.col("t_start"), F.col("t_end"))
     nested = F.struct(F.struct(F.col("host").alias("hostname")).alias("host"), F.struct("technique_id").alias("technique"), (F.col("t_start") * 1000).alias(fields[0]), (F.col("t_end") * 1000).alias(fields[1]))
+    if flat:
+        nested = F.struct(F.col("host").alias("ComputerName"), F.col("technique_id").alias("attack_technique"), (F.col("t_start") * 1000).alias(fields[0]), (F.col("t_end") * 1000).alias(fields[1]))
     text = F.struct(F.col("host"), F.col("technique_id"), iso("t_start").alias(fields[0]))
     broken = F.struct(F.col("host"), F.lit("").alias("technique_id"), F.col("t_start"))
     step = F.when(kind == 0, F.to_json(plain)).when(kind == 1, F.to_json(nested)).when(kind == 2, F.to_json(text)).otherwise(F.to_json(broken))
@@ -84,9 +98,9 @@ def operation_steps(spark, sf):
     return rounded(out.select("step_id", "host", "technique_id", "t_start", "t_end"), {"t_start": 3, "t_end": 3})
 
 
-@query("S6_invocation_steps", _STEP_SQL.replace("<> 3", "IN (0, 2)"))
+@query("S6_invocation_steps", _STEP_SQL)
 def invocation_steps(spark, sf):
-    rows = _step_reports(spark, sf, ("start", "end")).filter(F.col("kind") != 1)
+    rows = _step_reports(spark, sf, ("start", "end"), flat=True)
     body = F.concat(F.lit('{"invocations":['), "step", F.lit("]}"))
     out = logs.atomic_steps(rows.select("step_id", body.alias("value")))
     return rounded(out.select("step_id", "host", "technique_id", "t_start", "t_end"), {"t_start": 3, "t_end": 3})
@@ -181,9 +195,9 @@ def unmatched_steps(spark, sf):
     return L.unmatched_steps(staging.steps(spark, sf), creations(spark, sf))
 
 
-@query("J4_label_by_host_window", f"WITH {PT} SELECT event_id, CAST(EXISTS (SELECT 1 FROM steps s WHERE s.step_id % 100 = 0 AND {_HIT.format(pad=0)}) AS INTEGER) AS label FROM pt p")
+@query("J4_label_by_host_window", f"WITH {PT} SELECT event_id, CAST(EXISTS (SELECT 1 FROM steps s WHERE {_HIT.format(pad=0)}) AS INTEGER) AS label FROM pt p")
 def label_by_host_window(spark, sf):
-    windows = staging.steps(spark, sf).filter(F.col("step_id") % 100 == 0)
+    windows = staging.steps(spark, sf)
     ev = staging.events(spark, sf).withColumn("label", F.lit(0))
     return L.label_by_host_window(ev, windows).select("event_id", "label")
 

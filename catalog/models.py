@@ -21,8 +21,6 @@ from catalog.web import inputs, sessions
 from catalog.windows import members, rounded
 
 ACTIONS = staging.ACTIONS
-ROUNDS = 8
-EIDS = [1, 3, 10, 11, 13]
 
 
 def window_table(spark, sf):
@@ -41,7 +39,7 @@ def folds(spark, sf):
 @query("M6_boosted_trees")
 def boosted_trees(spark, sf):
     train, test = folds(spark, sf)
-    return M.fit_gbt(train, M.aggregate_columns(ACTIONS), rounds=ROUNDS).score(test).select("campaign_id", "window_id", "label", "score")
+    return M.fit_gbt(train, M.aggregate_columns(ACTIONS)).score(test).select("campaign_id", "window_id", "label", "score")
 
 
 @query("M7_logistic_sessions")
@@ -55,7 +53,9 @@ def logistic_sessions(spark, sf):
 def logistic_vectors(spark, sf):
     e = staging.table(spark, sf, "embeddings")
     rows = e.select("vec_id", (F.col("label") % 2).alias("y"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
-    return M.fit_logistic(rows, [f"x{i}" for i in range(64)]).score(rows).select("vec_id", "y", "score")
+    rows = cut_lineage(P.group_split(rows, "vec_id", 0.3, 1))
+    scorer = M.fit_logistic(rows.filter(F.col("fold") == "train"), [f"x{i}" for i in range(64)])
+    return scorer.score(rows.filter(F.col("fold") == "test")).select("vec_id", "y", "score")
 
 
 @query("M9_order_model")
@@ -83,8 +83,8 @@ def risk_spans(spark, sf):
 @query("M11_hybrid_lift")
 def hybrid_lift(spark, sf):
     train, test = folds(spark, sf)
-    both = M.fit_hybrid(train, ACTIONS, rounds=ROUNDS).score(test, "hybrid")
-    both = M.fit_gbt(train, M.aggregate_columns(ACTIONS), rounds=ROUNDS).score(both, "aggregate")
+    both = M.fit_hybrid(train, ACTIONS).score(test, "hybrid")
+    both = M.fit_gbt(train, M.aggregate_columns(ACTIONS)).score(both, "aggregate")
     return S.lift_table(cut_lineage(both), ["hybrid", "aggregate"], "aggregate")
 
 
@@ -100,13 +100,13 @@ def session_heads(spark, sf):
 @query("M4_framework_swap")
 def framework_swap(spark, sf):
     cols = M.aggregate_columns(ACTIONS)
-    return M.framework_swap(window_table(spark, sf), cols, 0.01, lambda train: M.fit_gbt(train, cols, rounds=ROUNDS))
+    return M.framework_swap(window_table(spark, sf), cols, 0.01, lambda train: M.fit_gbt(train, cols))
 
 
 @query("M17_heldout_families")
 def heldout_families(spark, sf):
     table = cut_lineage(sessions(spark, sf).withColumn("klass", F.when(F.col("y") == 1, "agent").otherwise("benign_bot")))
-    return M.heldout_families(table, 0.05, families=["fam0", "fam2"])
+    return M.heldout_families(table, 0.05)
 
 
 @query("F1_scorer_registry")
@@ -176,20 +176,20 @@ def of_kind(spark, sf, benign):
 @query("M18_dropout_false_alarms", f"""WITH {_D_BENIGN} SELECT dr.eid, nd AS n_events_dropped, round(nd / tot.n, 9) AS share_events, round(f.rate, 9) AS fp_rate_full, f.n AS n_windows_full, coalesce(per.n, 0) AS n_windows_dropout, round(per.rate, 9) AS fp_rate_dropout,
   round(f.rate - per.rate, 9) AS contribution_to_fp_rate, CASE WHEN per.rate IS NULL THEN 'no windows after dropout' END AS note FROM dr, tot, (SELECT * FROM per WHERE d = -2) f LEFT JOIN per ON per.d = dr.eid""")
 def dropout_false_alarms(spark, sf):
-    out = A.eid_dropout_fp(of_kind(spark, sf, True), rule, 0.75, EIDS, ACTIONS)
+    out = A.eid_dropout_fp(of_kind(spark, sf, True), rule, 0.75, ACTIONS)
     return rounded(out, dict.fromkeys(["share_events", "fp_rate_full", "fp_rate_dropout", "contribution_to_fp_rate"], 9))
 
 
 @query("M19_dropout_detection", f"""WITH {_D_ATTACK} SELECT dr.eid, nd AS n_events_dropped, round(nd / tot.n, 9) AS share_events, round(f.rate, 9) AS detect_rate_full, f.n AS n_windows_full, coalesce(per.n, 0) AS n_attack_windows_dropout, round(per.rate, 9) AS detect_rate_dropout,
   round(f.rate - per.rate, 9) AS contribution_to_detect_rate, CASE WHEN per.rate IS NULL THEN 'no attack windows survived' END AS note FROM dr, tot, (SELECT * FROM per WHERE d = -2) f LEFT JOIN per ON per.d = dr.eid""")
 def dropout_detection(spark, sf):
-    out = A.eid_dropout_detect(of_kind(spark, sf, False), rule, 0.75, EIDS, ACTIONS)
+    out = A.eid_dropout_detect(of_kind(spark, sf, False), rule, 0.75, ACTIONS)
     return rounded(out, dict.fromkeys(["share_events", "detect_rate_full", "detect_rate_dropout", "contribution_to_detect_rate"], 9))
 
 
 def both_sides(spark, sf):
-    benign = A.eid_dropout_fp(of_kind(spark, sf, True), rule, 0.75, EIDS, ACTIONS)
-    attack = A.eid_dropout_detect(of_kind(spark, sf, False), rule, 0.75, EIDS, ACTIONS)
+    benign = A.eid_dropout_fp(of_kind(spark, sf, True), rule, 0.75, ACTIONS)
+    attack = A.eid_dropout_detect(of_kind(spark, sf, False), rule, 0.75, ACTIONS)
     return benign, attack
 
 
@@ -243,7 +243,7 @@ def exclusion_rules(spark, sf):
 def alert_fatigue(spark, sf):
     cols = M.aggregate_columns(ACTIONS)
     report = reports.alert_fatigue(
-        staging.events(spark, sf), staging.manifest(spark, sf), 0.01, ACTIONS, fit=lambda train: M.fit_gbt(train, cols, rounds=ROUNDS), attribution_eids=EIDS
+        staging.events(spark, sf), staging.manifest(spark, sf), 0.01, ACTIONS, fit=lambda train: M.fit_gbt(train, cols), attribute=True
     )
     return report["deployments"]
 

@@ -98,9 +98,6 @@ def spend_cutoff(spark, sf):
     return rounded(T.spend_cutoff(cells, 0.35), {"running_cents": 6})
 
 
-_PROFILE = ["lang", "source", "n_chars"]
-
-
 @query("A36_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(DISTINCT {c}) AS cardinality, round(count(DISTINCT {c}) / count(*), 3) AS card_ratio, count(*) - count({c}) AS n_missing,
   (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {tab} ORDER BY v LIMIT 3)) AS sample FROM {tab}""" for tab, c, t in [
     ("orders", "o_orderkey", "bigint"), ("orders", "o_custkey", "bigint"), ("orders", "o_orderstatus", "string"), ("orders", "o_orderpriority", "string")]))
@@ -166,7 +163,7 @@ def validate_scores(spark, sf):
 
 
 @query("D2_forbidden_words", """SELECT '$.text' AS path, 'value' AS kind, count(*) AS n FROM documents WHERE contains(lower(text), 'license') HAVING count(*) > 0
-UNION ALL SELECT '$.license_note', 'name', NULL UNION ALL SELECT '$.info.License', 'name', NULL UNION ALL SELECT '$.info', 'value', count(*) FROM documents""")
+UNION ALL SELECT '$.license_note', 'name', NULL UNION ALL SELECT '$.info.License', 'name', NULL""")
 def forbidden_words(spark, sf):
     d = staging.table(spark, sf, "documents").withColumn("license_note", F.lit("x")).withColumn("info", F.struct(F.col("lang"), F.lit(1).alias("License")))
     return D.forbidden_words(d, "license")

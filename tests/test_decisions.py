@@ -219,3 +219,21 @@ def test_fixed_values_are_consistent():
     assert set(fixed.TECHNIQUE_TACTIC.values()) == set(fixed.TACTICS)
     assert {b[0] for b in fixed.BURST_SHAPES} == set(fixed.BENIGN_SUBTYPES) - {""}
     assert math.isclose(sum(fixed.PUBLIC_RATIOS), 1.0)
+
+
+def test_forbidden_words_are_values_not_names(spark):
+    from alertloom.operators import governance
+
+    df = spark.sql("select named_struct('License', 1, 'tags', array('a', 'my license')) a, map('license', 2) b, named_struct('License', 'none') c, 'free' d")
+    found = {(r["path"], r["kind"]): r["n"] for r in governance.forbidden_words(df, "license").collect()}
+    assert found == {("$.a.License", "name"): None, ("$.c.License", "name"): None, ("$.a", "value"): 1, ("$.b", "value"): 1}
+
+
+def test_constant_scorer_is_saved(spark, tmp_path):
+    from alertloom.operators.models import Scorer
+
+    constant = Scorer(["x"], None)
+    constant.save(str(tmp_path))
+    again = Scorer.load(spark, str(tmp_path))
+    assert again == constant and again.linear().coef == [0.0]
+    assert again.score(spark.range(2)).select("score").distinct().collect() == [(0.5,)]

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from alertloom.operators import scans
@@ -36,20 +37,52 @@ def hot_events(spark, seed=5):
     return spark.createDataFrame(rows, "event_id long, campaign_id string, ts double")
 
 
-def test_sliced_rank_equals_plain_rank(spark):
-    ev = hot_events(spark)
-    plain = scans.rank_in_key(ev, "campaign_id", "ts", ["event_id"])
-    sliced = scans.rank_in_key(ev, "campaign_id", "ts", ["event_id"], small_bytes=0, hot_rows=200)
-    key = lambda df: sorted(map(tuple, df.select("event_id", "rn", "prev_ts").collect()))
-    assert key(plain) == key(sliced)
-
-
-def test_sliced_window_features_equal_plain_ones(spark, sf):
-    ev = staging.events(spark, sf)
-    plain = W.window_features(ev, staging.ACTIONS)
-    sliced = W.window_features(ev, staging.ACTIONS, small_bytes=0, hot_rows=20)
-    rows = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(sorted(df.columns)).collect())
-    assert rows(plain) == rows(sliced)
+def test_rank_in_key_equals_one_window(spark):
+    ev = hot_events(spark).unionByName(spark.createDataFrame([(9000 + k, None, float(k)) for k in range(5)], "event_id long, campaign_id string, ts double"))
+    w = Window.partitionBy("campaign_id").orderBy("ts", "event_id")
+    plain = ev.withColumn("rn", (F.row_number().over(w) - 1).cast("long")).withColumn("prev_ts", F.lag("ts").over(w))
+    key = lambda df: sorted(map(str, df.select("event_id", "rn", "prev_ts").collect()))
+    assert key(plain) == key(scans.rank_in_key(ev, "campaign_id", "ts", ["event_id"]))
+
+
+def test_parts_are_even_on_any_values(spark):
+    """One time of 0, one outlier of 1e12 and one key with a burst at a single instant."""
+    rows = [(k, "hot", 1.7e9) for k in range(6000)] + [(6000, "hot", 0.0), (6001, "hot", 1e12)] + [(7000 + k, f"c{k % 9}", 1.7e9 + k) for k in range(2000)]
+    ev = spark.createDataFrame(rows, "event_id long, campaign_id string, ts double").repartition(7)
+    joined = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joined, "false")  # else parts this small become one
+    try:
+        check_parts(spark, ev, rows)
+    finally:
+        spark.conf.set(joined, "true")
+
+
+def check_parts(spark, ev, rows):
+    sizes = [r["count"] for r in scans.in_parts(ev, "campaign_id", "ts", "event_id").groupBy("__part").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    got = {r["event_id"]: r["rn"] for r in scans.rank_in_key(ev, "campaign_id", "ts", ["event_id"]).filter("campaign_id = 'hot'").collect()}
+    assert [got[6000], got[0], got[5999], got[6001]] == [0, 1, 6000, 6001]
+    run = {r["event_id"]: r["n"] for r in scans.prefix_sum(ev.withColumn("one", F.lit(1)), "ts", {"n": "one"}, ties=["event_id"]).collect()}
+    assert sorted(run.values()) == list(range(1, len(rows) + 1)) and run[6000] == 1 and run[6001] == len(rows)
+
+
+def test_no_row_is_lost_on_null_keys(spark):
+    from alertloom.operators import slices, splits, thresholds, web
+
+    entries = spark.createDataFrame([("v1", "a", 1, "h1", 0.5), ("v1", "a", None, "h2", 0.6), (None, "a", 1, "h3", None)], "splits_version string, split string, seed int, submission_hash string, m double")
+    assert sorted((r["submission_hash"], r["rank"]) for r in slices.rank_leaderboard(entries, "m").collect()) == [("h1", 1), ("h2", 1), ("h3", 1)]
+    scored = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.1), ("a", 1, 0.2), ("a", 0, 0.8)], "g string, y int, score double")
+    assert {r["g"]: r["pr_auc"] for r in thresholds.average_precision(scored, by=["g"]).collect()} == {None: 1.0, "a": 0.5}
+    assert scans.exact_percentiles(scored, "score", [0.0, 1.0], ["g"]).count() == 4
+    req = spark.createDataFrame([(1, 0.0, None, "x"), (2, 5.0, None, "x"), (3, 1.0, "1.2.3.4", None)], "line_id long, ts double, src_ip string, ua string")
+    assert sorted(r["line_id"] for r in web.stitch_sessions(req).collect()) == [1, 2, 3]
+    rows = spark.createDataFrame([(None, 1.0, 1, "a"), (None, 2.0, 2, None), ("s", 1.0, 3, None)], "k string, ts double, id long, v string")
+    assert {r["id"]: r["c"] for r in scans.carry_forward(rows, ["k"], "ts", ["id"], "v", "c").collect()} == {1: "a", 2: "a", 3: None}
+    ev = spark.createDataFrame([(None, 0), (None, 1), ("c", 0)], "campaign_id string, label int")
+    assert sorted(str(tuple(r)) for r in W.promote_labels(ev).collect()) == ["('c', 0)", "(None, 1)", "(None, 1)"]
+    assert splits.group_split(ev, "campaign_id", 0.5).count() == 3
+    rates = slices.rate_by_stealth(spark.createDataFrame([("s1", None, True, 0.9, "agent", 1), ("s2", "f", True, 0.9, "agent", 1)], "session_id string, family string, stealth boolean, agent_score double, klass string, y int"), 0.5)
+    assert sorted(str((r["family"], r["n"])) for r in rates.collect()) == ["('f', 1)", "(None, 2)"]
 
 
 def test_prefix_sum_equals_running_sum(spark):
