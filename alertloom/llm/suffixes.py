@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,8 +100,12 @@ def repeated_offsets(texts: list[bytes], offsets: list[int], width: int) -> list
     more before it must agree; the classes of equal bytes change only at the lengths of neighbours' common prefixes, so one count per stretch
     between those is enough."""
     n = len(texts)
+    both = [x[o:] for x, o in zip(texts, offsets)], [x[:o][::-1] for x, o in zip(texts, offsets)]
+    if n == 2:
+        first, last = width - common_prefix(*both[0]), common_prefix(*both[1])
+        return [[(max(0, first), min(last, width))] if first <= last else []] * 2
     sides = []
-    for strings in ([x[o:] for x, o in zip(texts, offsets)], [x[:o][::-1] for x, o in zip(texts, offsets)]):
+    for strings in both:
         order = deep_shallow(strings)
         shared = np.array([common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])], np.int64)
         sides.append((np.array(order), shared))
@@ -111,11 +115,14 @@ def repeated_offsets(texts: list[bytes], offsets: list[int], width: int) -> list
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for first, stop in zip(turns, [*turns[1:], width + 1]):
-        a[right] = np.concatenate([[0], np.cumsum(ahead < width - first)])
-        b[left] = np.concatenate([[0], np.cumsum(behind < first)])
-        _, where, times = np.unique(a * n + b, return_inverse=True, return_counts=True)
-        for i in np.flatnonzero(times[where] > 1).tolist():
-            out[i].append((first, stop - 1))
+        a[right[1:]] = np.cumsum(ahead < width - first)
+        b[left[1:]] = np.cumsum(behind < first)
+        codes = (a * n + b).tolist()
+        times = Counter(codes)
+        if len(times) < n:
+            for i, code in enumerate(codes):
+                if times[code] > 1:
+                    out[i].append((first, stop - 1))
     return out
 
 
@@ -165,16 +172,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_
     sizes = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     grouped = attach(each, stage(sizes, "groups"), ["gram"], "n").where("n is not null")
 
-    def sort_group(rows: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_offsets(list(rows["bytes"]), rows["at"].tolist(), width)
-        hits = [
-            (t, size, m - min(high, at), m - max(low, at + width - len(raw)))
-            for t, size, raw, at, m, own, ranges in zip(*(rows[c].tolist() for c in ("t", "size", "bytes", "at", "m", "own")), found) if own
-            for low, high in ranges if max(low, at + width - len(raw)) <= min(high, at)
-        ]
-        return pd.DataFrame(hits, columns=["t", "size", "lo", "hi"]).astype({"t": "int64", "size": "int32", "lo": "int32", "hi": "int32"})
-
-    hits = grouped.where(F.col("n") <= group_rows).groupBy("gram").applyInPandas(sort_group, "t bigint, size int, lo int, hi int")
+    whole_groups = grouped.where(F.col("n") <= group_rows).repartition("gram").sortWithinPartitions("gram")
+    hits = whole_groups.select("gram", *TEXT, "bytes", "at", "m", "own").mapInArrow(_sort_groups(width), "t bigint, size int, lo int, hi int")
     strings = in_batches(grouped.where(F.col("n") > group_rows).select(*TEXT, "bytes", "at", "m", "own"), _hashes(width), "t bigint, size int, p int, own boolean, h1 bigint, h2 bigint")
     strings = stage(strings, "strings")
     twice = stage(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
@@ -193,6 +192,40 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_
     return attach(ids, answers, TEXT, "n").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
+def _sort_groups(width: int):
+    """Ranges of starts that occur again, from rows in the order of their gram. A group may go on in the next batch; it has at most
+    GROUP_ROWS rows."""
+
+    def ranges(group: list[tuple]) -> list[tuple]:
+        found = repeated_offsets([r[3] for r in group], [r[4] for r in group], width)
+        return [
+            (t, size, m - min(high, at), m - max(low, at + width - len(raw)))
+            for (_, t, size, raw, at, m, own), own_ranges in zip(group, found) if own
+            for low, high in own_ranges if max(low, at + width - len(raw)) <= min(high, at)
+        ]
+
+    def run(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            hits = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and group[0][0] != row[0]:
+                    hits += ranges(group)
+                    group = []
+                group.append(row)
+            yield _as_batch(hits)
+        if group:
+            yield _as_batch(ranges(group))
+
+    return run
+
+
+def _as_batch(hits: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*hits)) or [[]] * 4
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["t", "size", "lo", "hi"])
+
+
 def _hashes(width: int):
     def batch(rows: pa.RecordBatch):
         for t, size, raw, at, m, own in zip(*(rows.column(c).to_pylist() for c in ("t", "size", "bytes", "at", "m", "own"))):
