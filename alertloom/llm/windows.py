@@ -107,7 +107,8 @@ def candidates(docs: DataFrame, symbols: Callable[[str], np.ndarray], width: int
 
 def _among(rows: DataFrame, counted: DataFrame, key: list[str], total: int) -> DataFrame:
     hot = F.col("n") * HOT_KEYS > F.lit(total)
-    return rows.join(F.broadcast(counted.where(hot)), key).unionByName(rows.join(counted.where(~hot), key))
+    heads = F.broadcast(counted.where(hot))
+    return rows.join(heads, key).unionByName(rows.join(heads, key, "left_anti").join(counted.where(~hot), key))
 
 
 def texts_with(docs: DataFrame, per_text: DataFrame) -> DataFrame:
