@@ -200,6 +200,20 @@ def vocabulary(rows: DataFrame, path: str, passes: int) -> tuple[DataFrame, dict
     return stage(weighed.select("token", "c", base.alias("base"), (logp / LOG10).alias("logp")), "words"), facts
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words above a count, as low as leaves at most `most` of them. Counts are grouped by eighths of a power of two, so the driver
+    sees a few hundred totals, and no task sends more than its share of the words."""
+    level = F.floor(F.log2("c") * 8)
+    sizes = {r["level"]: r["count"] for r in words.where("c > 0").groupBy(level.alias("level")).count().collect()}
+    least, taken = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        taken += sizes[k]
+        if taken > most:
+            break
+        least = k
+    return words.where((F.col("c") > 0) & (level >= least))
+
+
 def score_documents(docs: DataFrame, path: str | None = None, passes: int = PASSES) -> DataFrame:
     """docs: doc_id, text (null counts as empty) and train (boolean; rows with true are learned from). One row per document:
     doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
@@ -210,12 +224,12 @@ def score_documents(docs: DataFrame, path: str | None = None, passes: int = PASS
     all segmentations. All log10.
 
     The KNOWN_WORDS most frequent words are looked up in a broadcast of that size; the others are joined, and of
-    these no word has over 1/KNOWN_WORDS of all rows. Rows are told apart by a number given when they are staged, so that
+    these no word has much over 1/KNOWN_WORDS of all rows. Rows are told apart by a number given when they are staged, so that
     missing or repeated ids do no harm. Without training rows every word comes from the lattice alone."""
     path = path or model_file()
     rows = documents(docs, "train")
     words, facts = vocabulary(rows, path, passes)
-    top = words.orderBy(F.desc("c"), "token").limit(KNOWN_WORDS).toPandas()
+    top = frequent(words, KNOWN_WORDS).toPandas()
     shared = rows.sparkSession.sparkContext.broadcast((top["token"].tolist(), top["c"].to_numpy() > 0, top["base"].to_numpy(), top["logp"].to_numpy()))
     built = {}
 
