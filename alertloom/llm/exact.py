@@ -78,7 +78,7 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64, capacity: int = CAPACITY)
     totals = [F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")]
     heads = F.broadcast(shared.where(hot))
     common = rows.join(heads, "h").groupBy(*own).agg(*totals)
-    rare = rows.join(heads, "h", "left_anti").join(shared.where(~hot), "h").groupBy(*own).agg(*totals)
+    rare = rows.join(heads, "h", "left_anti").join(shared.where(~hot).hint("merge"), "h").groupBy(*own).agg(*totals)
     chains = common.unionByName(rare).select("bucket", "h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     single = entries.join(buckets.where("entries = 1"), "h").select("bucket", "h", "text_sha256", F.col("doc_id").alias("keep_id"), F.col("entries").alias("group_size"))
     found = attach(entries, stage(chains.unionByName(single), "chains"), ["h", "text_sha256"], "group_size")
