@@ -162,14 +162,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return attach(rows, stage(named, "named"), ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
-SKETCH = 256
 TABLES = 12
 SAMPLED = 4
 SPREAD = np.array([[0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)] for k in range(TABLES * SAMPLED)], np.uint64)
 
 
-def sketch(text: str, width: int) -> np.ndarray:
-    """The SKETCH smallest different hashes of the text's shingles, in order; all of them if there are fewer."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The different hashes of the text's shingles, in order."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -180,70 +179,97 @@ def sketch(text: str, width: int) -> np.ndarray:
         mixed = mixed * np.uint64(0x100000001B3) + h[k : k + n]
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
-    if len(mixed) > 8 * SKETCH:
-        mixed = mixed[mixed <= np.partition(mixed, 8 * SKETCH)[8 * SKETCH]] if len(np.unique(mixed[:SKETCH])) > 1 else mixed
-    return np.unique(mixed)[:SKETCH]
+    return np.unique(mixed)
 
 
 def sampled_fingerprints(own: np.ndarray) -> list[int]:
-    """TABLES fingerprints, each the SimHash of SAMPLED shingles that min-wise permutations of the sketch choose: texts of
-    similarity s agree in one with chance s ** SAMPLED."""
-    spread = own[None, :] * SPREAD
-    spread ^= spread >> np.uint64(32)
-    chosen = own[spread.argmin(axis=1)].reshape(TABLES, SAMPLED)
+    """TABLES fingerprints, each the SimHash of SAMPLED shingles that min-wise permutations of all of them choose: texts of
+    similarity s agree in one with chance s ** SAMPLED. Long texts are taken in slices."""
+    chosen = None
+    for start in range(0, len(own), SLICE):
+        part = own[start : start + SLICE] if chosen is None else np.concatenate([chosen, own[start : start + SLICE]])
+        best = np.empty(TABLES * SAMPLED, np.uint64)
+        for k, factor in enumerate(SPREAD[:, 0]):
+            spread = part * factor
+            best[k] = part[(spread ^ (spread >> np.uint64(32))).argmin()]
+        chosen = best
     out = []
-    for part in chosen:
+    for part in chosen.reshape(TABLES, SAMPLED):
         counts = bit_counts(part * np.uint64(0xD6E8FEB86659FD93))
         out.append(int((np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)) * (2 * counts > SAMPLED)).sum(dtype=np.uint64).view(np.int64)))
     return out
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets from their sketches: exact if both are complete, else over the smallest of their union."""
-    union = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        union = union[:SKETCH]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(union, both, assume_unique=True).sum() / len(union)) if len(union) else 1.0
+    """Jaccard similarity of two sets of different shingle hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """keys with the column root: what their fp is linked to, or the fp itself."""
+    found = keys.groupBy("fp").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    found = stage(found.withColumn("root", F.coalesce("root", "fp")), "roots")
+    return attach(keys, found, ["fp"], "n").select("key", "fp", "samples", "root")
+
+
+def open_groups(keys: DataFrame) -> DataFrame:
+    """key, fp, root and heads (three members) of the groups with one sampled fingerprint whose members are not all linked yet."""
+    tables = keys.select("key", "fp", "root", F.posexplode("samples").alias("table", "sample"))
+    own = F.struct("key", "fp", "root")
+    order = lambda k: F.min(F.struct(F.xxhash64("key", F.lit(k)), own.alias("own")))["own"]
+    groups = tables.groupBy("table", "sample").agg(
+        F.count("*").alias("n"), F.array_distinct(F.array(F.min(own), order(1), order(2))).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    groups = stage(groups.where("low <> high").drop("low", "high"), "samples")
+    return attach(tables, groups, ["table", "sample"], "n").where("n is not null").drop("n")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the fingerprints fa and fb of the pairs of keys (ka, kb) whose whole sets are as similar as asked."""
+    for side in ("a", "b"):
+        used = pairs.groupBy(F.col(f"k{side}").alias("key")).agg(F.count("*").alias("n")).join(sets, "key")
+        used = stage(used.select(F.col("key").alias(f"k{side}"), "n", F.col("hashes").alias(f"h{side}")), "partners")
+        pairs = attach(pairs, used, [f"k{side}"], "n").drop("n")
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ones, others = (batch.column(c) for c in ("ha", "hb"))
+        ok = [alike(ones[i].values.to_numpy(), others[i].values.to_numpy()) >= similarity for i in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([batch.column("fa"), batch.column("fb")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return in_batches(pairs.select("fa", "fb", "ha", "hb"), compare, "a bigint, b bigint", rows=64)
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id that links reach).
 
     Documents link if their whole fingerprints differ in `radius` or fewer bits, or if one of their sampled fingerprints agrees and
-    the similarity of their shingle sets is `similarity` or more. At a similarity of 0.8 twelve samples of four miss about two pairs in a
+    the similarity of their shingle sets, taken whole, is `similarity` or more. At a similarity of 0.8 twelve samples of four miss about two pairs in a
     thousand. In a group with one sampled fingerprint each document is compared with three representatives, not with all others.
     doc_id may be of any type that can be ordered; null and empty texts are one group."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = rows.column("text").to_pylist()
-        sketches = [sketch(t, width) for t in texts]
-        samples = [sampled_fingerprints(s) if len(s) else [] for s in sketches]
+        sets = [shingle_hashes(t, width) for t in texts]
+        samples = pa.array([sampled_fingerprints(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+        keys = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
         fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-        lists = [pa.array([list(x) for x in c], pa.list_(pa.int64())) for c in ([s.view(np.int64) for s in sketches], samples)]
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), fps, *lists], ["doc_id", "fp", "sketch", "samples"])
+        hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), fps, keys, samples, hashes], ["doc_id", "fp", "key", "samples", "hashes"])
 
-    rows = stage(in_batches(documents(docs), batch, f"doc_id {kind}, fp bigint, sketch array<bigint>, samples array<bigint>"), "sketches")
+    rows = stage(in_batches(documents(docs), batch, f"doc_id {kind}, fp bigint, key bigint, samples array<bigint>, hashes array<bigint>"), "shingles")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
-    whole = links(classes, radius)
-    tables = rows.select("doc_id", "fp", F.posexplode("samples").alias("table", "sample"))
-    order = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id"))["doc_id"]
-    groups = tables.groupBy("table", "sample").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("doc_id"), order(1), order(2))).alias("heads")).where("n > 1")
-    met = attach(tables, stage(groups, "samples"), ["table", "sample"], "n").where("n is not null")
-    pairs = met.select("doc_id", "fp", F.explode("heads").alias("head")).where("doc_id <> head").distinct()
-    pairs = stage(pairs, "pairs")
-    used = pairs.groupBy("head").agg(F.count("*").alias("n"))
-    heads = used.join(rows.select(F.col("doc_id").alias("head"), F.col("sketch").alias("head_sketch"), F.col("fp").alias("head_fp")), "head").dropDuplicates(["head"])
-    both = attach(pairs.join(rows.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id"), stage(heads, "heads"), ["head"], "n")
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        as_array = lambda v: np.array(v, np.int64).view(np.uint64)
-        ok = [alike(as_array(a), as_array(b)) >= similarity for a, b in zip(batch.column("sketch").to_pylist(), batch.column("head_sketch").to_pylist())]
-        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    close = in_batches(both.select(F.col("fp").alias("a"), F.col("head_fp").alias("b"), "sketch", "head_sketch"), compare, "a bigint, b bigint")
-    roots = components(whole.unionByName(close)).withColumnRenamed("node", "fp")
+    keys = stage(rows.where("size(samples) > 0").groupBy("key").agg(F.min("fp").alias("fp"), F.first("samples").alias("samples")), "keys")
+    same = rows.select("key", F.col("fp").alias("a")).distinct().join(keys.select("key", F.col("fp").alias("b")), "key").select("a", "b")
+    edges = stage(links(classes, radius).unionByName(same.where("a <> b")), "links")
+    met = stage(open_groups(rooted(keys, components(edges))), "met")
+    sets = rows.select("key", "hashes").join(met.select("key").distinct(), "key", "left_semi")
+    sets = stage(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    pairs = met.select("key", "fp", "root", F.explode("heads").alias("head")).where("root <> head.root")
+    pairs = stage(pairs.selectExpr("key ka", "fp fa", "head.key kb", "head.fp fb").distinct(), "pairs")
+    edges = edges.unionByName(stage(verified(pairs, sets, similarity), "close"))
+    roots = stage(components(edges), "components").withColumnRenamed("node", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
     named = attach(placed, least, ["root"], "size").select("fp", "n", "component_id")

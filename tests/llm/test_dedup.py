@@ -104,6 +104,33 @@ def test_similar_documents(spark):
     assert found == {k: low[top[k]] for k in range(len(texts))}
 
 
+def linked(texts):
+    """The component_id of each text by its place in the list, from whole shingle sets and whole fingerprints."""
+    sets, fps = [shingle_set(t) for t in texts], [fingerprint(t, 5) for t in texts]
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2 or close(a, b)]
+    top, low = union(range(len(texts)), pairs), {}
+    for k in range(len(texts)):
+        low[top[k]] = min(low.get(top[k], k), k)
+    return {k: low[top[k]] for k in range(len(texts))}
+
+
+def test_similarity_of_long_texts(spark):
+    """Pairs of 2,000 words just above and just below 0.8, and texts in which one line is repeated thousands of times."""
+    rng, texts = random.Random(11), []
+    fresh = lambda n: [f"x{rng.getrandbits(40):x}" for _ in range(n)]
+    for k in range(16):
+        words, d = fresh(2004), 210 if k % 2 else 236
+        texts += [" ".join(words), " ".join(words[:-d] + fresh(d))]
+    line = fresh(8)
+    for _ in range(4):
+        texts.append(" ".join(line * 3000 + fresh(600)))
+    expected = linked(texts)
+    assert len(set(expected.values())) == 8 + 16 + 4
+    found = simhash.similar_documents(awkward(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
 def repeated_texts(seed):
     rng = random.Random(seed)
     texts = list(TEXTS) + [(50, "ab " * 40), (51, "xab " + "ab " * 9)]
