@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import attach, components, documents, in_batches, stage
@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 TABLES = 12
 SAMPLED = 4
+PAIR_BLOCK = 512
 SPREAD = np.array([[0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)] for k in range(TABLES * SAMPLED)], np.uint64)
 
 
@@ -214,7 +215,7 @@ def rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def open_groups(keys: DataFrame) -> DataFrame:
-    """key, fp, root and heads (three members) of the groups with one sampled fingerprint whose members are not all linked yet."""
+    """key, fp, root, table, sample and heads (three members) of the groups with one sampled fingerprint whose members are not all linked yet."""
     tables = keys.select("key", "fp", "root", F.posexplode("samples").alias("table", "sample"))
     own = F.struct("key", "fp", "root")
     order = lambda k: F.min(F.struct(F.xxhash64("key", F.lit(k)), own.alias("own")))["own"]
@@ -240,12 +241,57 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return in_batches(pairs.select("fa", "fb", "ha", "hb"), compare, "a bigint, b bigint", rows=64)
 
 
+def left_over(met: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, fp and root of the members of groups in which documents that are no heads are still in different components."""
+    rest = met.where(~F.expr("exists(heads, x -> x.key = key)")).select("key", "table", "sample")
+    rest = stage(rest.join(keys.select("key", "fp", "root"), "key"), "rest")
+    groups = rest.groupBy("table", "sample").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = stage(groups.where("low <> high").select("table", "sample", "n"), "open")
+    return attach(rest, groups, ["table", "sample"], "n").where("n is not null").select("key", "fp", "root").distinct()
+
+
+def partners(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (ka, fa, kb, fb) of members of different components, with every pair whose sets are as similar as asked.
+
+    Of a set of n shingles, at least similarity * n are in a partner's, so in any one order of all shingles the two share one of
+    their first n - similarity * n + 1. The order is: those that only one component has, then by rising number of members. So a
+    passage that many share comes last, and documents meet by what is rare in them. Groups that are large nevertheless are cut into a
+    grid of blocks, which meet every pair; sizes and places in the order leave out pairs that cannot be similar enough."""
+    rows = members.join(sets, "key").select("key", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    seen = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    seen = stage(seen.where("low <> high").select("h", "n"), "shared")
+    shared = attach(rows.select("key", "size", "h"), seen, ["h"], "n").where("n is not null")
+    own = Window.partitionBy("key")
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "h")) - 1
+    first = shared.withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9))
+    first = stage(first.select("key", "size", "h", "at").join(members, "key"), "first")
+    groups = first.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    groups = stage(groups.select("h", "n", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("side")), "sides")
+    rows = attach(first, groups, ["h"], "n").where("side is not null")
+    part, other = F.pmod(F.xxhash64("key"), F.col("side")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    rows = rows.withColumn("part", part).withColumn("other", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    columns = ["key", "fp", "root", "size", "at"]
+    blocks = rows.groupBy("h", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("own"))
+
+    def pair(batch: pa.RecordBatch):
+        for own in batch.column("own"):
+            key, fp, root, size, at = (own.values.field(c).to_numpy().astype(np.int64) for c in columns)
+            a, b = np.nonzero((root[:, None] != root[None, :]) & (key[:, None] < key[None, :]))
+            least = similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9
+            ok = np.minimum(size[a] - at[a], size[b] - at[b]) >= least
+            a, b = a[ok], b[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[a], fp[a], key[b], fp[b])], ["ka", "fa", "kb", "fb"])
+
+    return in_batches(blocks.select("own"), pair, "ka bigint, fa bigint, kb bigint, fb bigint", rows=64).distinct()
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id that links reach).
 
     Documents link if their whole fingerprints differ in `radius` or fewer bits, or if one of their sampled fingerprints agrees and
     the similarity of their shingle sets, taken whole, is `similarity` or more. At a similarity of 0.8 twelve samples of four miss about two pairs in a
-    thousand. In a group with one sampled fingerprint each document is compared with three representatives, not with all others.
+    thousand. In a group with one sampled fingerprint each document is compared with three representatives; where that leaves other members
+    in different components, they are compared among themselves by their rarest shingles (`partners`), which misses no pair.
     doc_id may be of any type that can be ordered; null and empty texts are one group."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -269,6 +315,10 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     pairs = met.select("key", "fp", "root", F.explode("heads").alias("head")).where("root <> head.root")
     pairs = stage(pairs.selectExpr("key ka", "fp fa", "head.key kb", "head.fp fb").distinct(), "pairs")
     edges = edges.unionByName(stage(verified(pairs, sets, similarity), "close"))
+    rest = stage(left_over(met, rooted(keys, components(edges))), "members")
+    if rest.limit(1).count():
+        pairs = stage(partners(rest, sets, similarity), "pairs")
+        edges = edges.unionByName(stage(verified(pairs, sets, similarity), "close"))
     roots = stage(components(edges), "components").withColumnRenamed("node", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))

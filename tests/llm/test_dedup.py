@@ -131,6 +131,22 @@ def test_similarity_of_long_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_copies_that_share_a_passage_with_others(spark, monkeypatch, block):
+    """Twelve pairs at 0.8 whose common words are to 95% a passage that all texts hold; no other two are linked."""
+    monkeypatch.setattr(simhash, "PAIR_BLOCK", block)
+    rng = random.Random(12)
+    fresh = lambda n: [f"x{rng.getrandbits(40):x}" for _ in range(n)]
+    passage, texts = fresh(500), [" ".join(fresh(3))]
+    for _ in range(12):
+        both = fresh(26)
+        texts += [" ".join(passage + both + fresh(58)) for _ in range(2)]
+    texts += [" ".join(passage + fresh(100)) for _ in range(30)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(awkward(spark, list(enumerate(texts)))).collect()}
+    assert found == linked(texts)
+    assert all(found[k] == found[k + 1] for k in range(1, 25, 2))
+
+
 def repeated_texts(seed):
     rng = random.Random(seed)
     texts = list(TEXTS) + [(50, "ab " * 40), (51, "xab " + "ab " * 9)]
