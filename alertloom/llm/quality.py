@@ -55,8 +55,8 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def learn_vectors(sample: DataFrame) -> np.ndarray:
-    """Context vectors of the sampled texts: a word's is its own index vector plus the mean of its neighbours'. Sums have one row per bucket and task."""
+def learn_vectors(docs: DataFrame) -> np.ndarray:
+    """Context vectors of all texts of docs: a word's is its own index vector plus the mean of its neighbours'. Sums have one row per bucket and task."""
 
     def run(batches):
         index, sums, seen = index_vectors(), np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros(BUCKETS, np.int64)
@@ -73,7 +73,7 @@ def learn_vectors(sample: DataFrame) -> np.ndarray:
                 [pa.array(used), pa.array(seen[used]), pa.array(list(sums[used]), pa.list_(pa.float32()))], ["bucket", "n", "sums"]
             )
 
-    parts = sample.select("text").mapInArrow(run, "bucket bigint, n bigint, sums array<float>")
+    parts = docs.select("text").mapInArrow(run, "bucket bigint, n bigint, sums array<float>")
     total = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(DIMENSIONS)]
     found = parts.groupBy("bucket").agg(F.sum("n").alias("n"), *total).toPandas()
     out = index_vectors()
@@ -148,7 +148,8 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
-    """(word vectors, network) from at most `sample_rows` labelled documents, in the order of a hash of their id and text.
+    """(word vectors, network): the vectors from all docs, labelled or not; the network from at most `sample_rows` labelled
+    documents, in the order of a hash of their id.
 
     docs: doc_id, text; labels: doc_id, quality. Labels that are null are left out; an id with several labels counts as what
     most of them say (1 on a tie). None if there is no labelled document."""
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     ids = docs.where("doc_id is not null").select("doc_id").join(marks, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     ids = F.broadcast(stage(ids, "sample_ids"))
     sample = stage(docs.join(ids, "doc_id").select("doc_id", "text", (F.col("y") >= 0.5).cast("double").alias("y")), "sample")
-    vectors = learn_vectors(sample.coalesce(8))
+    vectors = learn_vectors(docs)
     rows = pool_documents(sample, vectors, lambda x: [list(x)], {"x": ("array<float>", pa.list_(pa.float32()))})
     rows = rows.toPandas().sort_values(["doc_id"], kind="stable")
     if not len(rows):

@@ -103,6 +103,17 @@ def test_quality_of_awkward_rows(spark):
     assert quality.score_documents(plain.limit(0), None).count() == 0
 
 
+def test_word_vectors_come_from_all_texts(spark):
+    """A word of texts without a label, or outside the sample, has its neighbours in its vector."""
+    texts = [(1, "good words here"), (2, "bad words there"), (3, "zebra stripes"), (4, "zebra stripes"), (5, "quagga stripes")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1)], "doc_id bigint, quality int")
+    vectors, index = quality.fit(docs, labels, sample_rows=2)[0], quality.index_vectors()
+    own, beside = (quality.bucket(w) for w in ("zebra", "stripes"))
+    assert np.allclose(vectors[own], index[own] + 4 * index[beside])
+    assert np.allclose(vectors[beside], index[beside] + 4 * (2 * index[own] + index[quality.bucket("quagga")]) / 3)
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     texts = list(TEXTS)
