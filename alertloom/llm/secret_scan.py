@@ -31,10 +31,12 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, path: str) -> DataFrame:
-    """One row per candidate: doc_id, at (number of the word), candidate, path, quoted, before2, before1, after1.
+    """One row per candidate: doc_id, at (number of the word), run (number of the run in it), candidate, path, quoted, before2,
+    before1, after1.
 
     A candidate is a run of 16 or more letters, digits and + / = _ - with a digit in it, in a word of the text (words are
-    split at ASCII white space; the longest run of a word counts once). Missing neighbours are empty."""
+    split at ASCII white space; a word may hold several). Its neighbours are what stands beside it in its word, together with
+    the run before or after that, without the quotes around it; else the words beside. Missing neighbours are empty."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
     plain = plain.where(F.col("text").rlike(CANDIDATE))
     words = plain.select("doc_id", "path", F.split("text", SPACES).alias("w"))
@@ -42,10 +44,20 @@ def candidates(docs: DataFrame, path: str) -> DataFrame:
     near = lambda k: F.coalesce(F.get("w", F.col("at") + k), F.lit(""))
     rows = words.select("doc_id", "path", "w", F.explode(hits).alias("at"))
     rows = rows.select("doc_id", "path", "at", F.col("w")[F.col("at")].alias("word"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after1"))
-    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), 0), lambda r: r.rlike("[0-9]"))
-    best = F.element_at(F.sort_array(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), -1)["r"]
-    rows = rows.where(F.size(runs) > 0).withColumn("candidate", best)
-    return rows.withColumn("quoted", F.col("word").rlike("^[\"'`]")).drop("word")
+    rows = rows.select("*", F.regexp_extract_all("word", F.lit(CANDIDATE), 0).alias("runs"), F.split("word", CANDIDATE).alias("gaps")).drop("w", "word")
+    text = lambda name, k: F.coalesce(F.get(F.col(name), k), F.lit(""))
+    run = lambda k: F.struct(
+        k.alias("run"), F.col("runs")[k].alias("candidate"), text("gaps", k).rlike("[\"'`]$").alias("quoted"),
+        F.concat(text("runs", k - 1), F.regexp_replace(text("gaps", k), "[\"'`]+$", "")).alias("left"),
+        F.concat(F.regexp_replace(text("gaps", k + 1), "^[\"'`]+", ""), text("runs", k + 1)).alias("right"),
+    )
+    every = F.filter(F.transform(F.sequence(F.lit(0), F.size("runs") - 1), run), lambda r: r["candidate"].rlike("[0-9]"))
+    rows = rows.where(F.size("runs") > 0).select("doc_id", "path", "at", "before2", "before1", "after1", F.explode(every).alias("own"))
+    inside, follows = F.col("own.left").rlike(r"[\p{L}\p{N}=:]"), F.col("own.right").rlike(r"[\p{L}\p{N}]")
+    return rows.select(
+        "doc_id", "path", "at", "own.run", "own.candidate", "own.quoted", F.when(inside, F.col("before1")).otherwise(F.col("before2")).alias("before2"),
+        F.when(inside, F.col("own.left")).otherwise(F.col("before1")).alias("before1"), F.when(follows, F.col("own.right")).otherwise(F.col("after1")).alias("after1"),
+    )
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
@@ -90,7 +102,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS):
 
 
 def scan(found: DataFrame, model) -> DataFrame:
-    """Findings with their probability: doc_id, at, length, candidate_sha256 (the string itself is not repeated), probability, is_secret.
+    """Findings with their probability: doc_id, at, run, length, candidate_sha256 (the string itself is not repeated), probability, is_secret.
 
     Without a model every candidate stays a finding. Repeated rows give repeated findings; texts that are null or empty,
     and an empty table, give none; rows without a doc_id are scanned too."""
@@ -101,5 +113,5 @@ def scan(found: DataFrame, model) -> DataFrame:
         kinds = model.stages[-1].numClasses
         scored = scored.withColumn("probability", vector_to_array("probability")[1] if kinds > 1 else F.lit(0.0))
     return scored.select(
-        "doc_id", "at", F.col("length").cast("int").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", (F.col("probability") >= THRESHOLD).alias("is_secret")
+        "doc_id", "at", "run", F.col("length").cast("int").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", (F.col("probability") >= THRESHOLD).alias("is_secret")
     )

@@ -129,6 +129,23 @@ def test_secrets(spark):
     assert secret_scan.candidates(awkward(spark, TEXTS), "source").count() == 0
 
 
+def test_several_secrets_in_one_word(spark):
+    rng = random.Random(16)
+    a, b, c, path = f"{rng.getrandbits(128):032x}", f"{rng.getrandbits(160):040x}", f"{rng.getrandbits(80):020x}", "a/long/path/without/harm/and/with/2/digits/in/it/2"
+    texts = [
+        (1, f'x {{"id":"{a}","my_long_variable_key="{b}","path":"{path}"}} y'), (2, f"{a},{b},{c}"), (3, f"u token = '{a}' v"), (4, f"/get?k:{c}&p:{a}"),
+    ]
+    found = secret_scan.candidates(awkward(spark, texts), "source").collect()
+    got = {(r["doc_id"], r["candidate"]): (r["at"], r["run"], r["quoted"], r["before2"], r["before1"], r["after1"]) for r in found}
+    assert len(found) == len(got) == 9
+    assert got[1, a] == (1, 0, True, "x", '{"id":', ",\"my_long_variable_key=") and got[1, path][2]
+    assert got[1, b][1:5] == (2, True, "x", "my_long_variable_key=")
+    assert {k: v[1] for k, v in got.items() if k[0] == 2} == {(2, a): 0, (2, b): 1, (2, c): 2}
+    assert got[3, a] == (3, 0, True, "token", "=", "v") and {(4, c), (4, a)} <= set(got)
+    scored = secret_scan.scan(secret_scan.features(secret_scan.candidates(awkward(spark, texts), "source"), []), None)
+    assert scored.select("doc_id", "at", "run").distinct().count() == 9
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_whole_and_tight(seed):
     rng = random.Random(seed)
