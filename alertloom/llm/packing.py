@@ -16,16 +16,18 @@ from alertloom.llm.common import documents, in_batches, stage
 
 CAPACITY = 1024
 END = 2
+#: The special token of the 50k vocabulary, as its tokenizer file names it.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level vocabulary in `path` (a rank file); its special tokens' strings are ordinary text."""
+def encoder(path: str, special: tuple[tuple[str, int], ...] = ()):
+    """The byte-level vocabulary in `path` (a rank file) and the special tokens (string, id); other tokens' strings are ordinary text."""
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
 def vocabulary() -> str:
@@ -40,14 +42,15 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(k, capacity) for k in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the token ids of each text and an end id, cut into pieces."""
+    special = special or {}
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(path or vocabulary()).encode_ordinary
+        encode = encoder(path or vocabulary(), tuple(special.items())).encode
         at, out = [], []
         for i, text in enumerate(rows.column("text").to_pylist()):
-            ids = np.array([*encode(text), END], "<u4")
+            ids = np.array([*encode(text, allowed_special=set(special), disallowed_special=()), END], "<u4")
             for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                 at.append(i)
                 out.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
@@ -147,9 +150,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     return reduce_by_dominance(left, capacity) + best_fit(left, capacity)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    Strings in `special` (op6 and the pipeline give SPECIAL) become the id they have there; without it they are ordinary text.
+
     A null or empty text is its end id alone. Texts of over `capacity` tokens are cut; only the first piece may be
     shorter. Rows that repeat a doc_id, or have none, are packed like any other. An empty table gives no rows.
 
@@ -159,7 +164,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     is large. The plan's slots are as few
     as lengths and rooms allow and independent of the number of pieces, so they are broadcast."""
     spark = docs.sparkSession
-    rows = stage(pieces(docs, capacity, path), "pieces")
+    rows = stage(pieces(docs, capacity, path, special), "pieces")
     total = rows.count()
     parts = max(1, math.isqrt(total) // 8)
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")

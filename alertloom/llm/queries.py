@@ -68,7 +68,7 @@ def op5(spark, sf_dir):
 
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
-    return packing.pack(common.table(spark, sf_dir, "documents"))
+    return packing.pack(common.table(spark, sf_dir, "documents"), special=packing.SPECIAL)
 
 
 @query("op7_benchmark_decontamination")

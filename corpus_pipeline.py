@@ -45,7 +45,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens packed into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.pack(docs)
+    return packing.pack(docs, special=packing.SPECIAL)
 
 
 STAGES = [

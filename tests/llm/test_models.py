@@ -209,6 +209,19 @@ def test_packing(spark, capacity):
     assert packing.pack(awkward(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_packing_of_special_tokens(spark, tmp_path):
+    """The query and the pipeline's stage against the tokenizer file as it is."""
+    texts = [(1, "text with <|endoftext|> inside"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext |> no"), (4, "plain"), (5, None)]
+    docs = awkward(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    whole, expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), set()
+    for i, t in texts:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        expected.add((i, len(ids), zlib.crc32(ids.tobytes())))
+    for found in (queries.QUERIES["op6_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in found.collect()} == expected
+
+
 def test_leaks_against_all_windows(spark):
     rng = random.Random(7)
     vocabulary = [f"v{k}" for k in range(30)]
