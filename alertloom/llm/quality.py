@@ -65,8 +65,11 @@ def learn_vectors(docs: DataFrame) -> np.ndarray:
                 at = np.array([bucket(t) for t in tokens(text)], np.int64)
                 for reach in range(1, REACH + 1):
                     for a, b in ((at[:-reach], at[reach:]), (at[reach:], at[:-reach])):
-                        np.add.at(sums, a, index[b])
-                        seen += np.bincount(a, minlength=BUCKETS)
+                        for low in range(0, len(a), 1 << 16):
+                            order = np.argsort(a[low : low + (1 << 16)], kind="stable") + low
+                            own, starts, n = np.unique(a[order], return_index=True, return_counts=True)
+                            sums[own] += np.add.reduceat(index[b[order]], starts, axis=0)
+                            seen[own] += n
         used = np.flatnonzero(seen)
         if len(used):
             yield pa.RecordBatch.from_arrays(
