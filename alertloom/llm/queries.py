@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import common, debruijn, exact, language, lattice, leaks, packing, quality, secret_scan, simhash, suffixes
+from alertloom.llm import common, debruijn, exact, language, lattice, leaks, linkgraph, packing, quality, secret_scan, simhash, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,3 +92,50 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query(
+    "op13_url_filter",
+    r"""
+    WITH RECURSIVE cut AS (
+        SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), named AS (
+        SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+    ), parts AS (
+        SELECT page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM named
+    ), rules(verdict, name, start) AS (
+        VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+    ), judged AS (
+        SELECT p.*, f.rule, f.verdict FROM parts p LEFT JOIN (
+            SELECT q.host, q.path, arg_max(r.name || r.start, length(r.name || r.start)) AS rule, arg_max(r.verdict, length(r.name || r.start)) AS verdict
+            FROM (SELECT DISTINCT host, path FROM parts) q JOIN rules r
+              ON (q.host = r.name OR ends_with(q.host, '.' || r.name)) AND starts_with(q.path, r.start) GROUP BY q.host, q.path
+        ) f USING (host, path)
+    ), links AS (
+        SELECT host AS src, dst, count(*) AS links FROM (
+            SELECT host, translate(unnest(regexp_extract_all(html, '(?i)\b(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM parts WHERE host <> ''
+        ) WHERE host <> dst GROUP BY ALL
+    ), edges AS (
+        SELECT *, sum(links) OVER (PARTITION BY kind, host) AS all_links FROM (
+            SELECT 'trust' AS kind, src AS host, dst, links FROM links UNION ALL SELECT 'distrust', dst, src, links FROM links)
+    ), moving(k, kind, host, mass) AS (
+        SELECT 0, CASE verdict WHEN 'block' THEN 'distrust' ELSE 'trust' END, host, count(*)::HUGEINT * 1048576 FROM judged WHERE rule IS NOT NULL GROUP BY 2, 3
+        UNION ALL
+        SELECT k + 1, m.kind, e.dst, sum((m.mass * 85 * e.links) // (e.all_links * 100)) FROM moving m JOIN edges e ON m.kind = e.kind AND m.host = e.host
+        WHERE k < 39 GROUP BY 1, 2, 3 HAVING sum((m.mass * 85 * e.links) // (e.all_links * 100)) > 0
+    ), hosts AS (
+        SELECT host, sum(CASE WHEN kind = 'trust' THEN mass - mass * 85 // 100 ELSE 0 END) AS good,
+               sum(CASE WHEN kind = 'distrust' THEN mass - mass * 85 // 100 ELSE 0 END) AS bad FROM moving GROUP BY host
+    )
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad * 100 > (good + bad) * 50 THEN 'block' ELSE 'allow' END) AS verdict,
+           coalesce(good, 0)::DOUBLE / 1048576 AS trust, coalesce(bad, 0)::DOUBLE / 1048576 AS distrust
+    FROM judged LEFT JOIN hosts USING (host)
+    """,
+)
+def op13(spark, sf_dir):
+    return linkgraph.filter_urls(common.table(spark, sf_dir, "pages"), URL_RULES)
