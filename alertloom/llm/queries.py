@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import common, debruijn, exact, language, lattice, leaks, linkgraph, packing, quality, secret_scan, simhash, suffixes
+from alertloom.llm import common, debruijn, exact, language, lattice, leaks, linkgraph, negatives, packing, quality, secret_scan, simhash, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -94,6 +94,34 @@ def op10(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+        SELECT *, row_number() OVER () AS row FROM (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false))
+    ), s AS (
+        SELECT a.row, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id
+    ), p AS (
+        SELECT row, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY row ORDER BY score DESC, id) AS place FROM s WHERE same
+        QUALIFY place <= 5
+    )
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY row, place ORDER BY score DESC, id)::INT AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (row) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5
+    """,
+)
+def op11(spark, sf_dir):
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
