@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import common, debruijn, exact, language, lattice, leaks, linkgraph, negatives, packing, quality, secret_scan, simhash, suffixes
+from alertloom.llm import common, debruijn, exact, language, lattice, leaks, linkgraph, negatives, packing, prefixes, quality, secret_scan, simhash, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -122,6 +122,48 @@ def op11(spark, sf_dir):
     return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+@query(
+    "op12_conversation_prefix_trie",
+    """
+    WITH own AS (
+        SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS item, strlen(coalesce(text, '')) AS bytes,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+            [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+            lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))
+        )) % 9 AS h
+        FROM own GROUP BY conv_id
+    ), r AS (
+        SELECT c.conv_id, 0 AS part, o.pos, o.item, o.bytes FROM c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+        UNION ALL SELECT c.conv_id, 1, o.pos, o.item, o.bytes FROM c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h
+    ), d AS (
+        SELECT conv_id, bytes, row_number() OVER w AS depth, string_agg(item, '') OVER w AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+    ), p AS (
+        SELECT conv_id, bytes, depth, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up FROM d
+        UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c
+    ), l AS (
+        SELECT conv_id, arg_max(key, depth) AS key FROM p GROUP BY conv_id
+    ), e AS (
+        SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM l GROUP BY key
+    ), n AS (
+        SELECT key, any_value(up) AS up, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n FROM p GROUP BY key
+    ), k AS (
+        SELECT up AS key, count(*) AS children FROM n WHERE up IS NOT NULL GROUP BY up
+    ), s AS (
+        SELECT p.key, sum((n.n - 1) * n.bytes)::BIGINT AS saved, count(*) FILTER (k.children IS NULL) AS leaves
+        FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN k ON k.key = n.key GROUP BY p.key
+    )
+    SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.children, 0) AS n_children, s.leaves AS n_leaves,
+           s.saved AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+    FROM n JOIN s USING (key) LEFT JOIN k USING (key) LEFT JOIN e USING (key) LEFT JOIN n u ON u.key = n.up
+    """,
+)
+def op12(spark, sf_dir):
+    return prefixes.prefix_trie(common.table(spark, sf_dir, "conversations"))
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
