@@ -8,11 +8,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from alertloom.session import cut_lineage
 
-FAN_OUT_BITS = 12
-FAN_OUT = 1 << FAN_OUT_BITS
+#: A group of more rows than this is cut into parts; one task orders about this many rows at most. Where the whole table is so large that
+#: more than MAX_HEAVY groups could pass the limit, the limit grows, so that the table of cut points stays below 20 MB.
+PART_ROWS, MAX_HEAVY = 1 << 20, 1 << 16
+#: Cut points of one level of a cut: a group has up to 63 parts (32 ranges, 31 cut points), a part that is still too large as many of its own, and so on.
+CUTS, LEVELS = 31, 9
+LAST_PART = 1 << 62
 
 
 def group_key(columns: Sequence[str]) -> Column:
@@ -20,10 +25,40 @@ def group_key(columns: Sequence[str]) -> Column:
     return F.struct(*columns) if columns else F.lit(0)
 
 
-def in_parts(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Add `__part`: the rows cut into ranges of the order, as many rows in each whatever the values are. Spark finds the cut
-    points in the data; the parts are written once, so that they cannot change when a task is run again."""
-    return cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+def _place(value: Column, cuts: Column) -> Column:
+    """How many of the CUTS ascending cut points are below the value, plus how many are not above it: rows that equal a cut
+    point are apart from those beside it. A null value is before all."""
+    below, upto = (F.size(F.filter(cuts, test)) for test in (lambda c: c < value, lambda c: c <= value))
+    return F.when(value.isNull(), 0).otherwise(below + upto)
+
+
+def in_parts(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """Add `__g`, the group, and `__part`, so that within a group rows of a lower part are before those of a higher one in the ascending order of
+    the columns, nulls first, and no part has many more than PART_ROWS rows. None if no group is that large: then each is one part.
+
+    Cut points are quantiles of the group's own values, so outliers and bursts change nothing: a part that is still too large is
+    cut again, by the same column, or by the next one where all its values are equal. Rows that are equal in all numeric columns stay
+    together. The part is an expression of the row's values and a small table of cut points; rows are neither written nor exchanged for it."""
+    rows = df.withColumn("__g", group_key(by)).withColumn("__part", F.lit(0).cast("long"))
+    facts = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (facts[1] or 0) <= PART_ROWS:
+        return None
+    limit = max(PART_ROWS, facts[0] // MAX_HEAVY)
+    numeric = [c for c in order if isinstance(df.schema[c].dataType, NumericType)]
+    value = lambda c: F.col(c).cast("double")
+    fractions = F.array(*[F.lit((i + 1) / (CUTS + 1)) for i in range(CUTS)])
+    for _ in range(LEVELS):
+        spans = [F.struct(F.min(value(c)).alias("low"), F.max(value(c)).alias("high"), F.count(c).alias("known")).alias(f"__v{i}") for i, c in enumerate(numeric)]
+        heavy = rows.groupBy("__g", "__part").agg(F.count(F.lit(1)).alias("__n"), *spans).filter(F.col("__n") > limit)
+        first = F.coalesce(*[F.when((F.col(f"__v{i}.low") < F.col(f"__v{i}.high")) | ((F.col(f"__v{i}.known") > 0) & (F.col(f"__v{i}.known") < F.col("__n"))), i) for i in range(len(numeric))])
+        heavy = cut_lineage(heavy.select("__g", "__part", first.alias("__by")).filter("__by is not null"))
+        if heavy.isEmpty():
+            break
+        chosen = F.coalesce(*[F.when(F.col("__by") == i, value(c)) for i, c in enumerate(numeric)])
+        points = rows.join(F.broadcast(heavy), ["__g", "__part"]).groupBy("__g", "__part", "__by").agg(F.percentile_approx(chosen, fractions, 10_000).alias("__cuts"))
+        cut = rows.join(F.broadcast(cut_lineage(points)), ["__g", "__part"], "left")
+        rows = cut.withColumn("__part", F.col("__part") * (2 * CUTS + 2) + F.when(F.col("__by").isNull(), 0).otherwise(_place(chosen, F.col("__cuts")))).drop("__by", "__cuts")
+    return rows
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -34,17 +69,6 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return left.join(F.broadcast(right), key).drop(key)
 
 
-def _with_cells(df: DataFrame, by: Sequence[str], first: Column, ties: Sequence[str], order: str, bounds: tuple[float, float] | None, descending: bool) -> DataFrame:
-    if bounds is None:
-        rows = in_parts(df, *by, first, *ties).withColumn("__cell", F.col("__part").cast("long")).drop("__part")
-    else:
-        place = (F.col(order).cast("double") - F.lit(float(bounds[0]))) / F.lit(float(bounds[1] - bounds[0]))
-        cells = FAN_OUT * FAN_OUT
-        cell = F.least(F.greatest(F.floor((F.lit(1.0) - place if descending else place) * cells), F.lit(0)), F.lit(cells - 1))
-        rows = df.withColumn("__cell", F.coalesce(cell.cast("long"), F.lit(0).cast("long")))
-    return rows.withColumn("__block", F.shiftright("__cell", FAN_OUT_BITS)).withColumn("__g", group_key(by))
-
-
 def prefix_sum(
     df: DataFrame,
     order: str,
@@ -52,39 +76,39 @@ def prefix_sum(
     by: Sequence[str] = (),
     ties: Sequence[str] = (),
     descending: bool = False,
-    bounds: tuple[float, float] | None = None,
     totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Running totals in the order of a numeric column, without a one-task window.
+    """Running totals in the order of a numeric column, with no task that orders an unbounded group.
 
-    Where the values are spread over known `bounds` (scores, hashes) the range is cut into FAN_OUT blocks of FAN_OUT
-    cells by value, else into parts with about as many rows each (`in_parts`). Totals per cell and per block are small
-    tables; rows are ordered only inside their cell and get the totals before it by a join. Nulls come first in rising
-    order, last in falling order; a null in `by` is a group like any other. `sums` maps output name -> input column. `totals` maps
-    further output names -> names in `sums`, for the total of the whole group."""
+    Groups of at most PART_ROWS rows are ordered as they are. Larger ones are cut by value (`in_parts`); totals per part are a small table, rows are
+    ordered only inside their part and get the totals before it by a join. Nulls come first in rising order, last in falling
+    order; a null in `by` is a group like any other; ties rise. `sums` maps output name -> input column. `totals` maps further output names -> names
+    in `sums`, for the total of the whole group."""
     first = F.col(order).desc() if descending else F.col(order).asc()
-    rows = _with_cells(df, by, first, ties, order, bounds, descending)
-    cells = rows.groupBy("__g", "__block", "__cell").agg(*[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()])
-    blocks = cells.groupBy("__g", "__block").agg(*[F.sum(f"__t_{k}").alias(f"__b_{k}") for k in sums])
-    before_block = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    before_cell = Window.partitionBy("__g", "__block").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("__g")
     totals = totals or {}
-    block_start = blocks.select(
-        "__g", "__block", *[F.coalesce(F.sum(f"__b_{k}").over(before_block), F.lit(0)).alias(f"__s_{k}") for k in sums],
-        *[F.sum(f"__b_{k}").over(whole).alias(t) for t, k in totals.items()],
-    )
-    cell_start = cells.select(
-        "__g", "__block", "__cell",
-        *[F.coalesce(F.sum(f"__t_{k}").over(before_cell), F.lit(0)).alias(f"__c_{k}") for k in sums],
-    )
-    starts = cell_start.join(block_start, ["__g", "__block"]).select(
-        "__g", "__cell", *[(F.col(f"__c_{k}") + F.col(f"__s_{k}")).alias(f"__o_{k}") for k in sums], *totals
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Falling order is the rising order of the negated value, so that parts rise with the order either way.
+    keyed = df.withColumn("__o", -F.col(order).cast("double")) if descending else df.withColumn("__o", F.col(order))
+    rows = in_parts(keyed, by, ["__o", *ties])
+    if rows is None:
+        whole = df.withColumn("__g", group_key(by))
+        inside = upto(Window.partitionBy("__g").orderBy(first, *ties))
+        summed = whole.select("*", *[F.sum(v).over(inside).alias(f"__l_{k}") for k, v in sums.items()])
+        every = Window.partitionBy("__g")
+        return summed.select(*df.columns, *[F.col(f"__l_{k}").alias(k) for k in sums], *[F.sum(sums[k]).over(every).alias(t) for t, k in totals.items()])
+    if descending:  # nulls, which are before all in a part's number, belong after all
+        rows = rows.withColumn("__part", F.when(F.col("__o").isNull(), LAST_PART + F.col("__part")).otherwise(F.col("__part")))
+    parts = rows.groupBy("__g", "__part").agg(*[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()])
+    before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("__g")
+    starts = parts.select(
+        "__g", "__part", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__s_{k}") for k in sums],
+        *[F.sum(f"__t_{k}").over(every).alias(t) for t, k in totals.items()],
     )
-    inside = Window.partitionBy("__g", "__cell").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = upto(Window.partitionBy("__g", "__part").orderBy(first, *ties))
     local = rows.select("*", *[F.sum(v).over(inside).alias(f"__l_{k}") for k, v in sums.items()])
-    joined = local.join(starts, ["__g", "__cell"])
-    return joined.select(*df.columns, *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums], *totals)
+    joined = local.join(starts, ["__g", "__part"])
+    return joined.select(*df.columns, *[(F.col(f"__l_{k}") + F.col(f"__s_{k}")).alias(k) for k in sums], *totals)
 
 
 def rank_rows(
@@ -93,7 +117,6 @@ def rank_rows(
     by: Sequence[str] = (),
     ties: Sequence[str] = (),
     descending: bool = False,
-    bounds: tuple[float, float] | None = None,
     name: str = "rank",
     total: str | None = None,
 ) -> DataFrame:
@@ -101,7 +124,7 @@ def rank_rows(
     size of the group under the name `total`."""
     ones = df.withColumn("__w", F.lit(1).cast("long"))
     totals = {total: name} if total else None
-    return prefix_sum(ones, order, {name: "__w"}, by, ties, descending, bounds, totals).drop("__w")
+    return prefix_sum(ones, order, {name: "__w"}, by, ties, descending, totals).drop("__w")
 
 
 def hash_order(seed: int | str, column: str) -> Column:
@@ -110,9 +133,6 @@ def hash_order(seed: int | str, column: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
 
 
-HASH_BOUNDS = (0.0, float(16**13))
-
-
 def exact_percentiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -142,18 +162,20 @@ def exact_percentiles(
 def rank_in_key(df: DataFrame, key: str, ts: str, ties: Sequence[str]) -> DataFrame:
     """Add `rn` (0-based position in the key by ts, ties) and `prev_ts`. Rows without a key are one group.
 
-    The rows are cut into parts by key, time and ties, so a key with a burst, or with a third of all rows, is spread over
-    many. A part continues at most one key of the part before it; what it needs from there is a table with at most
-    one row per part, which is broadcast."""
-    parts = in_parts(df, key, ts, *ties).withColumn("__g", group_key([key]))
+    A key of more than PART_ROWS rows, by a burst or as a third of all rows, is cut into parts by time and ties (`in_parts`). What a part needs
+    from those before it is one row: their number and their last time."""
+    parts = in_parts(df, [key], [ts, *ties])
+    if parts is None:
+        order = Window.partitionBy("__g").orderBy(ts, *ties)
+        return df.withColumn("__g", group_key([key])).select(*df.columns, (F.row_number().over(order) - 1).cast("long").alias("rn"), F.lag(ts).over(order).alias("prev_ts"))
     inside = Window.partitionBy("__g", "__part").orderBy(ts, *ties)
     local = parts.withColumn("__rn", (F.row_number().over(inside) - 1).cast("long")).withColumn("__prev", F.lag(ts).over(inside))
     order = Window.partitionBy("__g").orderBy("__part")
     slices = parts.groupBy("__g", "__part").agg(F.count(F.lit(1)).alias("__m"), F.max(ts).alias("__last"))
-    continued = slices.select(
+    slices = slices.select(
         "__g", "__part", F.sum("__m").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.lag("__last").over(order).alias("__prev_last")
-    ).filter(F.col("__before").isNotNull())
-    return local.join(F.broadcast(continued), ["__g", "__part"], "left").select(
+    )
+    return local.join(slices, ["__g", "__part"]).select(
         *df.columns, (F.col("__rn") + F.coalesce("__before", F.lit(0))).alias("rn"), F.coalesce("__prev", "__prev_last").alias("prev_ts")
     )
 

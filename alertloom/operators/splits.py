@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed
 from alertloom.functions import columns as C
-from alertloom.operators.scans import HASH_BOUNDS, attach_row, group_key, hash_order, rank_rows
+from alertloom.operators.scans import attach_row, group_key, hash_order, rank_rows
 from alertloom.session import cut_lineage
 
 
 def hash_rank(keys: DataFrame, key: str, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
     """Add `rank` in hash order and `n_total`, the number of keys in the group."""
     hashed = keys.withColumn("__h", hash_order(seed, key))
-    return rank_rows(hashed, "__h", by, [key], bounds=HASH_BOUNDS, total="n_total").drop("__h")
+    return rank_rows(hashed, "__h", by, [key], total="n_total").drop("__h")
 
 
 def group_split(df: DataFrame, group: str, frac: float = 0.25, seed: int = 0) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from alertloom import fixed
 from alertloom.operators.scans import attach_row, exact_percentiles, prefix_sum
 
-UNIT = (0.0, 1.0)
 F1_GRID = [float(x) for x in np.linspace(0.05, 0.95, 19)]
 SWEEP_GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 
@@ -25,7 +24,7 @@ def score_table(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> Da
 
 def running_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """tp and fp when alerting at each distinct score or above."""
-    return prefix_sum(score_table(df, y, score, by), score, {"tp": "pos", "fp": "neg"}, by, descending=True, bounds=UNIT)
+    return prefix_sum(score_table(df, y, score, by), score, {"tp": "pos", "fp": "neg"}, by, descending=True)
 
 
 def average_precision(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -42,7 +41,7 @@ def pr_curve(df: DataFrame, y: str = "y", score: str = "score", points: int = 20
     the closing point (1, 0) when the sampling step hits it."""
     table = score_table(df, y, score).withColumn("one", F.lit(1).cast("long"))
     run = prefix_sum(
-        table, score, {"tp": "pos", "fp": "neg", "k": "one"}, descending=True, bounds=UNIT, totals={"t": "k", "all_pos": "tp"}
+        table, score, {"tp": "pos", "fp": "neg", "k": "one"}, descending=True, totals={"t": "k", "all_pos": "tp"}
     )
     step = F.greatest(F.lit(1), F.floor((F.col("t") + 1) / points))
     placed = run.select(

@@ -1,29 +1,20 @@
 """Structured Streaming: the same results as the batch operators, kept up to date.
 
-The two alerters hold a small fixed state per key. Python sees one key's new rows at a
-time in Arrow batches; limits on the source (maxFilesPerTrigger, maxBytesPerTrigger)
-bound how many rows a micro-batch brings."""
+The operators that depend on the order of a key's rows are in `ordered`. Limits on the source (maxFilesPerTrigger,
+maxBytesPerTrigger) bound how many rows a micro-batch brings."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
-from alertloom import fixed
 from alertloom.functions import columns as C
 from alertloom.operators.models import LinearScorer
-from alertloom.session import ship_package
 from alertloom.sources import logs
-
-ALERT_SCHEMA = "campaign_id string, ts double, risk double, events_seen long"
-SESSION_ALERT_SCHEMA = "session_id string, seen long, flag_after_s double"
-
+from alertloom.streaming.ordered import CampaignAlerter, alert_campaigns
 
 def with_lateness(df: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Event time as a timestamp with a watermark. Rows later than `delay` are dropped in
@@ -63,142 +54,6 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "json"):
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def window_vector(buffer: pd.DataFrame, actions: Sequence[str]) -> dict[str, float]:
-    """The window features of up to 32 events held in memory."""
-    n = len(buffer)
-    ts = buffer["ts"].to_numpy()
-    gaps = np.diff(ts)
-    gaps = gaps[gaps >= 0]
-    acts = buffer["action"].tolist()
-    targets = buffer["target"].nunique()
-    depth, ai = (np.nan_to_num(pd.to_numeric(buffer[c]).to_numpy(dtype=float)) for c in ("depth", "artifact_ai"))
-    stat = lambda f: float(f(gaps)) if len(gaps) else 0.0
-    out = {
-        "dt_mean": stat(np.mean), "dt_median": stat(np.median), "dt_std": stat(np.std), "events_per_sec": n / (ts[-1] - ts[0] + 1e-6),
-        "distinct_targets": float(targets), "target_churn": targets / n, "depth_max": depth.max(), "depth_mean": depth.mean(),
-        "ai_artifact_mean": ai.mean(), "ai_artifact_max": ai.max(),
-    }
-    pairs = list(zip(acts, acts[1:]))
-    for a in actions:
-        out[f"act_{a}"] = acts.count(a) / n
-        for b in actions:
-            out[f"seq_{a}_{b}"] = pairs.count((a, b)) / max(len(pairs), 1)
-    return out
-
-
-def logistic(scorer: LinearScorer, features: dict[str, float]) -> float:
-    z = scorer.intercept + sum(c * features[k] for k, c in zip(scorer.cols, scorer.coef))
-    return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z))))
-
-
-STATE_COLUMNS = ["ts", "action", "target", "depth", "artifact_ai"]
-ALERT_STATE = "ts array<double>, action array<string>, target array<string>, depth array<int>, artifact_ai array<double>, seen long, alerted boolean"
-
-
-def stream_alerts(
-    events: DataFrame, scorer: LinearScorer, tau: float, actions: Sequence[str] = fixed.ACTIONS,
-    size: int = fixed.WINDOW_EVENTS, stride: int = fixed.WINDOW_STRIDE, idle: str = "30 days", delay: str = "1 day",
-) -> DataFrame:
-    """First alert of each campaign. The last `size` events are kept; after every `stride`
-    events, once half a window is there, they are scored. A campaign alerts once; its state is dropped when it has been
-    silent for `idle` of event time, and one that comes back after that starts anew. A missing action, target, depth or score stays
-    missing in the state: it is no target and no action, and counts as 0 in depth and score."""
-    actions = list(actions)
-    ship_package(events.sparkSession)
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        buf, seen, alerted = [], 0, False
-        if state.exists:
-            *columns, seen, alerted = state.get
-            buf = list(zip(*columns))
-        found = []
-        fresh = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        latest = int(fresh["ts"].iloc[-1] * 1000)
-        if not alerted:
-            for row in fresh[STATE_COLUMNS].itertuples(index=False, name=None):
-                buf = buf[-(size - 1):] + [row]
-                seen += 1
-                if seen % stride or len(buf) < size // 2:
-                    continue
-                risk = logistic(scorer, window_vector(pd.DataFrame(buf, columns=STATE_COLUMNS), actions))
-                if risk >= tau:
-                    alerted = True
-                    found.append((key[0], float(row[0]), risk, seen))
-                    buf = []
-                    break
-        known = lambda values, kind: [None if pd.isna(x) else kind(x) for x in values]
-        ts, action, target, depth, ai = (list(c) for c in zip(*buf)) if buf else ([], [], [], [], [])
-        state.update((known(ts, float), known(action, str), known(target, str), known(depth, int), known(ai, float), int(seen), alerted))
-        state.setTimeoutTimestamp(max(latest + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=["campaign_id", "ts", "risk", "events_seen"])
-
-    rows = with_lateness(events.select("campaign_id", "event_id", *STATE_COLUMNS), delay)
-    return rows.groupBy("campaign_id").applyInPandasWithState(step, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-SESSION_STATE = "n long, sum_d double, sum_d2 double, n_d long, c4 long, c5 long, t0 double, t1 double, run int, done boolean"
-PREFIX_FEATURES = ["log_n", "log_delta_mean", "log_delta_std", "frac_4xx", "frac_5xx", "log_duration_ms"]
-
-
-def prefix_vector(n, sum_d, sum_d2, n_d, c4, c5, t0, t1) -> dict[str, float]:
-    """Session features of the requests seen so far, from running totals."""
-    mean = sum_d / n_d if n_d else 0.0
-    var = max(0.0, sum_d2 / n_d - mean * mean) if n_d else 0.0
-    return {
-        "log_n": math.log1p(n), "log_delta_mean": math.log1p(max(0.0, mean)), "log_delta_std": math.log1p(math.sqrt(var)),
-        "frac_4xx": c4 / n, "frac_5xx": c5 / n, "log_duration_ms": math.log1p(max(0.0, (t1 - t0) * 1000.0)),
-    }
-
-
-def stream_session_alerts(
-    requests: DataFrame, scorer: LinearScorer, tau: float, every: int = 5, k: int = 2, idle: float = fixed.SESSION_GAP_S, delay: str = "10 minutes"
-) -> DataFrame:
-    """Sessions flagged after `k` scored ticks in a row reach the threshold; a tick comes
-    every `every` requests, and once more when the session has been idle.
-    The scorer works on PREFIX_FEATURES. requests: session_id, ts, line_id, status, delta_ms."""
-    ship_package(requests.sparkSession)
-
-    def ticked(total, run):
-        return run + 1 if logistic(scorer, prefix_vector(*total)) >= tau else 0
-
-    def step(key, batches, state: GroupState):
-        *total, run, done = state.get if state.exists else (0, 0.0, 0.0, 0, 0, 0, 0.0, 0.0, 0, False)
-        found = []
-        if state.hasTimedOut:
-            if not done and total[0] % every:
-                run = ticked(total, run)
-                if run >= k:
-                    found.append((key[0], int(total[0]), float(total[7] - total[6])))
-            state.remove()
-        else:
-            for r in pd.concat(list(batches)).sort_values(["ts", "line_id"]).itertuples(index=False):
-                n, sum_d, sum_d2, n_d, c4, c5, t0, t1 = total
-                has = r.delta_ms is not None and not pd.isna(r.delta_ms)
-                d = float(r.delta_ms) if has else 0.0
-                total = [
-                    n + 1, sum_d + d, sum_d2 + d * d, n_d + int(has), c4 + int(400 <= r.status < 500), c5 + int(500 <= r.status < 600),
-                    r.ts if n == 0 else t0, r.ts,
-                ]
-                if not done and total[0] % every == 0:
-                    run = ticked(total, run)
-                    if run >= k:
-                        done = True
-                        found.append((key[0], int(total[0]), float(total[7] - total[6])))
-            n, sum_d, sum_d2, n_d, c4, c5, t0, t1 = total
-            state.update((int(n), float(sum_d), float(sum_d2), int(n_d), int(c4), int(c5), float(t0), float(t1), int(run), bool(done)))
-            state.setTimeoutTimestamp(max(int((total[7] + idle) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=["session_id", "seen", "flag_after_s"])
-
-    rows = with_lateness(requests.select("session_id", "ts", "line_id", "status", "delta_ms"), delay)
-    return rows.groupBy("session_id").applyInPandasWithState(
-        step, SESSION_ALERT_SCHEMA, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there now and return its output table."""
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
@@ -213,13 +68,32 @@ def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+CLOSING, CLOSE_AFTER_S = "~closing", 400 * 86400.0
+
+
+def closing_row(rows: DataFrame, key: str, ts: float) -> DataFrame:
+    """One row far after `ts`. Streams in event order hold back what the watermark has not passed; this row ends a log that is complete."""
+    kinds = StructType([StructField(f.name, f.dataType) for f in rows.schema.fields])
+    values = [CLOSING if f.name == key else ts + CLOSE_AFTER_S if f.name == "ts" else None for f in kinds.fields]
+    return rows.sparkSession.createDataFrame([tuple(values)], kinds)
+
+
 def replay(spark: SparkSession, path: str, schema: str, scorer: LinearScorer, tau: float, folder: str, prepare: Callable[[DataFrame], DataFrame] | None = None, batch_bytes: int = 1 << 30, **options) -> DataFrame:
-    """Replay stored events (Parquet) through the alerter; per campaign: onset, alert, seconds."""
+    """Replay stored events (Parquet) through the alerter, then a closing row; per campaign: onset, alert, seconds. Files may come
+    in any order within the delay (option `delay`)."""
     stored = spark.read.schema(schema).parquet(path)
     live = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
     if prepare is not None:
         stored, live = prepare(stored), prepare(live)
-    alerts = run_to_table(spark, stream_alerts(live, scorer, tau, **options), folder)
+    columns = ["campaign_id", *CampaignAlerter.columns]
+    kept = stored.select(*columns)
+    kept.limit(0).write.parquet(f"{folder}/closing")
+    live = live.select(*columns).unionByName(spark.readStream.schema(kept.schema).parquet(f"{folder}/closing"))
+    alerts = alert_campaigns(live, scorer, tau, **options)
+    run_to_table(spark, alerts, folder)
+    last = stored.agg(F.max("ts")).first()[0] or 0.0
+    closing_row(kept, "campaign_id", last).write.mode("append").parquet(f"{folder}/closing")
+    alerts = run_to_table(spark, alerts, folder)
     starts = stored.groupBy("campaign_id").agg(
         F.max("label").cast("int").alias("is_attack"), F.coalesce(F.min(F.when(F.col("label") == 1, F.col("ts"))), F.min("ts")).alias("onset_ts")
     )

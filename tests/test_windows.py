@@ -45,27 +45,42 @@ def test_rank_in_key_equals_one_window(spark):
     assert key(plain) == key(scans.rank_in_key(ev, "campaign_id", "ts", ["event_id"]))
 
 
-def test_parts_are_even_on_any_values(spark):
+def test_parts_are_even_on_any_values(spark, monkeypatch):
     """One time of 0, one outlier of 1e12 and one key with a burst at a single instant."""
     rows = [(k, "hot", 1.7e9) for k in range(6000)] + [(6000, "hot", 0.0), (6001, "hot", 1e12)] + [(7000 + k, f"c{k % 9}", 1.7e9 + k) for k in range(2000)]
     ev = spark.createDataFrame(rows, "event_id long, campaign_id string, ts double").repartition(7)
-    joined = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(joined, "false")  # else parts this small become one
-    try:
-        check_parts(spark, ev, rows)
-    finally:
-        spark.conf.set(joined, "true")
-
-
-def check_parts(spark, ev, rows):
-    sizes = [r["count"] for r in scans.in_parts(ev, "campaign_id", "ts", "event_id").groupBy("__part").count().collect()]
-    assert len(sizes) >= 4 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    monkeypatch.setattr(scans, "PART_ROWS", 500)
+    sizes = [r["count"] for r in scans.in_parts(ev, ["campaign_id"], ["ts", "event_id"]).groupBy("__g", "__part").count().collect()]
+    assert max(sizes) <= 500 and len(sizes) >= 20
     got = {r["event_id"]: r["rn"] for r in scans.rank_in_key(ev, "campaign_id", "ts", ["event_id"]).filter("campaign_id = 'hot'").collect()}
     assert [got[6000], got[0], got[5999], got[6001]] == [0, 1, 6000, 6001]
     run = {r["event_id"]: r["n"] for r in scans.prefix_sum(ev.withColumn("one", F.lit(1)), "ts", {"n": "one"}, ties=["event_id"]).collect()}
     assert sorted(run.values()) == list(range(1, len(rows) + 1)) and run[6000] == 1 and run[6001] == len(rows)
 
 
+@pytest.mark.parametrize("part_rows", [1 << 20, 40])
+def test_cut_scans_equal_one_window(spark, monkeypatch, part_rows):
+    """Scores crowded below 1e-9, a value that most rows share, nulls, a null group and ties, in rising and falling order."""
+    monkeypatch.setattr(scans, "PART_ROWS", part_rows)
+    rnd = random.Random(3)
+    score = lambda: rnd.choice([rnd.random() * 1e-9, rnd.random() * 1e-300, 0.5, 0.5, 1.0, None, rnd.random()])
+    rows = [(i, score(), rnd.randrange(9), rnd.choice(["a", "a", "a", "b", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double, v long, g string")
+    w = Window.partitionBy("g")
+    for descending, order in ((False, F.col("x").asc()), (True, F.col("x").desc())):
+        got = scans.prefix_sum(df, "x", {"s": "v"}, ["g"], ["id"], descending, totals={"t": "s"})
+        want = df.withColumn("s", F.sum("v").over(w.orderBy(order, "id"))).withColumn("t", F.sum("v").over(w))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    ranked = scans.rank_in_key(df, "g", "x", ["id"]).select("id", "rn", "prev_ts")
+    want = df.select("id", (F.row_number().over(w.orderBy("x", "id")) - 1).cast("long").alias("rn"), F.lag("x").over(w.orderBy("x", "id")).alias("prev_ts"))
+    assert sorted(map(str, ranked.collect())) == sorted(map(str, want.collect()))
+
+
+def test_scans_write_no_rows_and_sort_once(spark, sf):
+    plan = scans.rank_in_key(staging.events(spark, sf), "campaign_id", "ts", ["event_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "ExistingRDD" not in plan
+
+
 def test_no_row_is_lost_on_null_keys(spark):
     from alertloom.operators import slices, splits, thresholds, web
 
