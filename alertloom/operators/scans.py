@@ -180,9 +180,25 @@ def rank_in_key(df: DataFrame, key: str, ts: str, ties: Sequence[str]) -> DataFr
     )
 
 
-def time_cells(lo: Column, hi: Column, width: float) -> Column:
-    """Every cell of `width` seconds an interval touches."""
-    return F.explode(F.sequence(F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long")))
+def dyadic_cells(lo: Column, hi: Column, width: float, levels: int = 44) -> Column:
+    """The cells an interval is made of, as rows (level, cell): a cell of a level is 2**level base cells of `width` seconds, and the interval,
+    rounded to base cells, is cut into at most two cells of each level, so that ten years of 60 s cells are fewer than 46 rows."""
+    first, after = F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long") + 1
+    at = lambda k: (F.ceil(first / F.pow(F.lit(2.0), k)).cast("long"), F.floor(after / F.pow(F.lit(2.0), k)).cast("long"))
+
+    def ends(k: Column) -> Column:
+        low, high = at(k)
+        cell = lambda odd, c: F.when((low < high) & (F.pmod(odd, F.lit(2)) == 1), F.struct(k.cast("int").alias("level"), c.alias("cell")))
+        return F.array(cell(low, low), cell(high, high - 1))
+
+    return F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), ends)), lambda x: x.isNotNull()))
+
+
+def in_levels(base: Column, levels: Sequence[int]) -> Column:
+    """The cells that a base cell lies in, one row (level, cell) for each of the levels."""
+    if not levels:
+        levels = [0]
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(base, k).alias("cell")) for k in sorted(levels)]))
 
 
 def time_cell(ts: Column, width: float) -> Column:

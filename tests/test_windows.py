@@ -145,3 +145,34 @@ def test_row_order_does_not_matter(spark, sf):
     shuffled = ev.orderBy(F.rand(3)).repartition(5)
     rows = lambda df: sorted(map(str, W.count_windows(df).collect()))
     assert rows(ev) == rows(shuffled)
+
+
+def test_dyadic_cells_cover_spans_exactly(spark):
+    """Ten years, one base cell, a span before 1970 and random ones: few cells, which hold the span's base cells and no others."""
+    rnd = random.Random(4)
+    spans = [(0, 0.0, 3.15e8), (1, 61.0, 62.0), (2, -1000.0, 1000.0), (3, 5.0, -5.0)]
+    spans += [(k, s := rnd.uniform(-1e4, 1e6), s + rnd.choice([0.0, 59.0, 1e3, 1e5])) for k in range(4, 60)]
+    df = spark.createDataFrame(spans, "id long, lo double, hi double")
+    got = {}
+    for r in df.select("id", scans.dyadic_cells(F.col("lo"), F.col("hi"), 60.0).alias("at")).collect():
+        got.setdefault(r.id, []).append((r.at.level, r.at.cell))
+    assert len(got[0]) < 60 and 3 not in got
+    for k, lo, hi in spans[1:]:
+        base = sorted(c for level, cell in got.get(k, []) for c in range(cell << level, (cell + 1) << level))
+        assert base == list(range(int(lo // 60), int(hi // 60) + 1)), (lo, hi)
+
+
+def test_labels_by_host_window_equal_plain_search(spark):
+    from alertloom.operators import labelling
+
+    rnd = random.Random(5)
+    spans = [(k, rnd.choice(["a", "b", None]), s := rnd.uniform(0, 5000), s + rnd.choice([-1.0, 0.0, 3.0, 200.0, 9000.0])) for k in range(25)] + [(99, "c", 0.0, 3e9)]
+    events = [(k, rnd.choice(["a", "b", "c", None]), rnd.choice([rnd.uniform(0, 9000), float(rnd.randrange(9000))]), k % 5 == 0) for k in range(800)]
+    steps = spark.createDataFrame(spans, "step_id long, host string, t_start double, t_end double")
+    ev = spark.createDataFrame([(k, h, t, int(b)) for k, h, t, b in events], "id long, host string, ts double, label int").withColumn("guid", F.concat(F.lit("g"), F.col("id") % 50))
+    inside = lambda h, t, pad: [k for k, sh, lo, hi in spans if h is not None and sh == h and lo - pad <= t <= hi + pad]
+    assert {r.id: r.label for r in labelling.label_by_host_window(ev, steps).collect()} == {k: int(bool(inside(h, t, 0.0)) or b) for k, h, t, b in events}
+    pairs = {(s, f"g{k % 50}") for k, h, t, _ in events for s in inside(h, t, 5.0)}
+    assert {tuple(r) for r in labelling.match_steps(steps, ev).collect()} == pairs
+    assert {r.guid for r in labelling.matched_guids(steps, ev).collect()} == {g for _, g in pairs}
+    assert {r.step_id for r in labelling.unmatched_steps(steps, ev).collect()} == {k for k, *_ in spans} - {s for s, _ in pairs}
