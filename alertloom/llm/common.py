@@ -41,15 +41,31 @@ def keep_rows(docs: DataFrame, key: F.Column, kept: DataFrame, once: bool = Fals
     return (rows.dropDuplicates([name]) if once else rows).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+STAGED: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write the rows once to the shared folder and go on from the files: later jobs, and tasks that are run again
     after an executor is lost, read the same rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_result(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Stage what `make` returns, then remove what it has staged on the way: once the result is written, nothing reads that again."""
+    before = len(STAGED)
+    result = stage(make(), label)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in STAGED[before:-1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+    del STAGED[before:]
+    return result
+
+
 def in_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """Run fn over Arrow batches of few rows, so that a worker's memory does not grow with the partition."""
     spark = df.sparkSession

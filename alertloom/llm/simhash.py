@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 TABLES = 12
 SAMPLED = 4
 PAIR_BLOCK = 512
+PORTION = 1 << 13
 SPREAD = np.array([[0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)] for k in range(TABLES * SAMPLED)], np.uint64)
 
 
@@ -215,30 +216,36 @@ def rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def open_groups(keys: DataFrame) -> DataFrame:
-    """key, fp, root, table, sample and heads (three members) of the groups with one sampled fingerprint whose members are not all linked yet."""
+    """key, fp, root, table, sample and heads of the groups with one sampled fingerprint whose members are not all linked yet. Heads are two members:
+    the one that is in the largest groups by all its samples, which of near copies with few changes each is the one with the fewest, and any other."""
     tables = keys.select("key", "fp", "root", F.posexplode("samples").alias("table", "sample"))
+    groups = tables.groupBy("table", "sample").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = stage(groups.where("low <> high").select("table", "sample", "n"), "samples")
+    met = stage(attach(tables, groups, ["table", "sample"], "n").where("n is not null"), "members")
+    central = met.groupBy("key").agg(F.sum("n").alias("central"))
     own = F.struct("key", "fp", "root")
-    order = lambda k: F.min(F.struct(F.xxhash64("key", F.lit(k)), own.alias("own")))["own"]
-    groups = tables.groupBy("table", "sample").agg(
-        F.count("*").alias("n"), F.array_distinct(F.array(F.min(own), order(1), order(2))).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    groups = stage(groups.where("low <> high").drop("low", "high"), "samples")
-    return attach(tables, groups, ["table", "sample"], "n").where("n is not null").drop("n")
+    heads = F.array_distinct(F.array(F.min(F.struct(-F.col("central"), own.alias("own")))["own"], F.min(F.struct(F.xxhash64("key"), own.alias("own")))["own"]))
+    heads = stage(met.join(central, "key").groupBy("table", "sample").agg(F.count("*").alias("n"), heads.alias("heads")), "heads")
+    return attach(met.drop("n"), heads, ["table", "sample"], "n").drop("n")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the fingerprints fa and fb of the pairs of keys (ka, kb) whose whole sets are as similar as asked."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (ka, fa, kb, fb) of keys with the similarity of their whole sets. A key may be in very many pairs."""
     for side in ("a", "b"):
-        used = pairs.groupBy(F.col(f"k{side}").alias("key")).agg(F.count("*").alias("n")).join(sets, "key")
-        used = stage(used.select(F.col("key").alias(f"k{side}"), "n", F.col("hashes").alias(f"h{side}")), "partners")
+        used = pairs.groupBy(f"k{side}").agg(F.count("*").alias("n"))
+        used = stage(used.join(sets.select(F.col("key").alias(f"k{side}"), F.col("hashes").alias(f"h{side}")), f"k{side}"), "partners")
         pairs = attach(pairs, used, [f"k{side}"], "n").drop("n")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         ones, others = (batch.column(c) for c in ("ha", "hb"))
-        ok = [alike(ones[i].values.to_numpy(), others[i].values.to_numpy()) >= similarity for i in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([batch.column("fa"), batch.column("fb")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        found = [alike(ones[i].values.to_numpy(), others[i].values.to_numpy()) for i in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ka", "fa", "kb", "fb")), pa.array(found, pa.float64())], ["ka", "fa", "kb", "fb", "like"])
 
-    return in_batches(pairs.select("fa", "fb", "ha", "hb"), compare, "a bigint, b bigint", rows=64)
+    return in_batches(pairs.select("ka", "fa", "kb", "fb", "ha", "hb"), compare, "ka bigint, fa bigint, kb bigint, fb bigint, like double", rows=64)
+
+
+def close(pairs: DataFrame, similarity: float) -> DataFrame:
+    return pairs.where(F.col("like") >= similarity).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
 def left_over(met: DataFrame, keys: DataFrame) -> DataFrame:
@@ -250,14 +257,112 @@ def left_over(met: DataFrame, keys: DataFrame) -> DataFrame:
     return attach(rest, groups, ["table", "sample"], "n").where("n is not null").select("key", "fp", "root").distinct()
 
 
-def partners(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (ka, fa, kb, fb) of members of different components, with every pair whose sets are as similar as asked.
+def distances(pairs: DataFrame, most: int = 2) -> DataFrame:
+    """key and pivots: heads that a document has been compared with, and how far it is from each; a head is at distance 0 from itself. Of
+    many heads the `most` are kept that most documents have been compared with, so that documents have pivots in common."""
+    heads = stage(pairs.groupBy(F.col("kb").alias("pivot")).agg(F.count("*").alias("n")), "pivots")
+    far = attach(pairs.select(F.col("ka").alias("key"), F.col("kb").alias("pivot"), (1 - F.col("like")).alias("far")), heads, ["pivot"], "n")
+    far = far.unionByName(heads.select(F.col("pivot").alias("key"), "pivot", F.lit(0.0).alias("far"), "n"))
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "pivot"))
+    return far.withColumn("place", best).where(F.col("place") <= most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "pivot", "far"))).alias("pivots"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each sorted set on the left shares with each on the right, by products of 0/1 matrices over portions of the shared values."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    total = np.zeros((len(left), len(right)), np.float32)
+
+    def marks(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(part)), np.float32)
+        for row, own in zip(out, sets):
+            own = own[np.searchsorted(own, part[0]) : np.searchsorted(own, part[-1], "right")]
+            at = np.searchsorted(part, own)
+            row[at[part[at] == own]] = 1
+        return out
+
+    for start in range(0, len(shared), PORTION):
+        part = shared[start : start + PORTION]
+        total += marks(left, part) @ marks(right, part).T
+    return total
+
+
+def pivot_links(members: DataFrame, sets: DataFrame, pivots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between members (key, fp, root) with the same first pivot. Those that are not in the pivot's component yet are compared with all others
+    of the pivot, block by block; sets are compared where they are and only links come out, at most one less than a block has members."""
+    first = pivots.select("key", F.col("pivots")[0]["pivot"].alias("pivot"), F.col("pivots")[0]["far"].alias("far"))
+    near = members.join(first, "key")
+    sizes = near.groupBy("pivot").agg(F.count("*").alias("n"), F.mode("root", True).alias("most"))
+    alone = F.count_if(F.col("root") != F.col("most"))
+    sizes = stage(attach(near, sizes, ["pivot"], "n").groupBy("pivot", "most").agg(F.count("*").alias("n"), alone.alias("alone")).where("alone > 0"), "pivoted")
+    rows = attach(near, sizes, ["pivot"], "n").where("alone is not null")
+    rows = rows.withColumns({"rows_side": F.ceil(F.col("n") / PAIR_BLOCK).cast("int"), "alone_side": F.ceil(F.col("alone") / PAIR_BLOCK).cast("int")}).join(sets, "key")
+    part = lambda side: F.pmod(F.xxhash64("key"), F.col(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    columns = ["key", "fp", "root", "far", "hashes"]
+    asking = rows.where("root <> most").select("pivot", part("alone_side").alias("i"), every("rows_side").alias("j"), F.lit(True).alias("asks"), *columns)
+    asked = rows.select("pivot", every("alone_side").alias("i"), part("rows_side").alias("j"), F.lit(False).alias("asks"), *columns)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        one, other = group[group["asks"]], group[~group["asks"]]
+        found = []
+        if len(one) and len(other):
+            sizes = [np.array([len(x) for x in g["hashes"]], np.float32) for g in (one, other)]
+            both = overlaps(*[[np.asarray(x).view(np.uint64) for x in g["hashes"]] for g in (one, other)])
+            like = both / (sizes[0][:, None] + sizes[1][None, :] - both)
+            ok = (like >= similarity - 1e-6) & (one["root"].to_numpy()[:, None] != other["root"].to_numpy()[None, :])
+            ok &= np.abs(one["far"].to_numpy()[:, None] - other["far"].to_numpy()[None, :]) <= 1 - similarity + 1e-9
+            up = {}
+
+            def top(x):
+                while x in up:
+                    x = up[x]
+                return x
+
+            for a, b in zip(*np.nonzero(ok)):
+                meet = float(both[a, b])
+                if meet / (float(sizes[0][a]) + float(sizes[1][b]) - meet) < similarity:
+                    continue
+                x, y = top(int(one["fp"].iat[a])), top(int(other["fp"].iat[b]))
+                if x != y:
+                    up[x] = y
+                    found.append((x, y))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return asking.unionByName(asked).groupBy("pivot", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
+def may_be_close(pivots: pa.ListArray, a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Which pairs (a, b) of rows their distances from common pivots leave open. The distance 1 - similarity obeys the triangle inequality, so
+    two documents whose distances from one pivot differ by more than `most` are further than that from each other."""
+    sizes = pivots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(pivots)), sizes)
+    flat = pivots.flatten()
+    names, far = flat.field("pivot").to_numpy(zero_copy_only=False), flat.field("far").to_numpy(zero_copy_only=False)
+    ok = np.ones(len(a), bool)
+    for name in np.unique(names):
+        own = np.full(len(pivots), np.nan)
+        own[owner[names == name]] = far[names == name]
+        ok &= ~(np.abs(own[a] - own[b]) > most + 1e-9)
+    return ok
+
+
+def same_first(pivots: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs have the same first pivot, so that `pivot_links` has compared them."""
+    first = [None if p is None else p[0]["pivot"] for p in pivots.to_pylist()]
+    number = pd.factorize(np.array(first, dtype=object))[0]
+    return (number[a] == number[b]) & (number[a] >= 0)
+
+
+def partners(members: DataFrame, sets: DataFrame, similarity: float, pivots: DataFrame) -> DataFrame:
+    """Pairs (ka, fa, kb, fb) of members of different components, with every pair whose sets are as similar as asked and that has not the same first pivot.
 
     Of a set of n shingles, at least similarity * n are in a partner's, so in any one order of all shingles the two share one of
     their first n - similarity * n + 1. The order is: those that only one component has, then by rising number of members. So a
     passage that many share comes last, and documents meet by what is rare in them. Groups that are large nevertheless are cut into a
-    grid of blocks, which meet every pair; sizes and places in the order leave out pairs that cannot be similar enough."""
-    rows = members.join(sets, "key").select("key", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    grid of blocks, which meet every pair; sizes, places in the order and distances from common pivots leave out pairs that cannot be similar
+    enough, and no others: those near a pivot, which are linked through it, are not compared with those far from it."""
+    members = members.join(pivots, "key", "left")
+    rows = members.select("key", "fp", "root").join(sets, "key").select("key", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
     seen = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     seen = stage(seen.where("low <> high").select("h", "n"), "shared")
     shared = attach(rows.select("key", "size", "h"), seen, ["h"], "n").where("n is not null")
@@ -271,7 +376,7 @@ def partners(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     part, other = F.pmod(F.xxhash64("key"), F.col("side")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
     rows = rows.withColumn("part", part).withColumn("other", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     columns = ["key", "fp", "root", "size", "at"]
-    blocks = rows.groupBy("h", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("own"))
+    blocks = rows.groupBy("h", "i", "j").agg(F.collect_list(F.struct(*columns, "pivots")).alias("own"))
 
     def pair(batch: pa.RecordBatch):
         for own in batch.column("own"):
@@ -280,6 +385,9 @@ def partners(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             least = similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9
             ok = np.minimum(size[a] - at[a], size[b] - at[b]) >= least
             a, b = a[ok], b[ok]
+            pivots = own.values.field("pivots")
+            ok = may_be_close(pivots, a, b, 1 - similarity) & ~same_first(pivots, a, b)
+            a, b = a[ok], b[ok]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[a], fp[a], key[b], fp[b])], ["ka", "fa", "kb", "fb"])
 
     return in_batches(blocks.select("own"), pair, "ka bigint, fa bigint, kb bigint, fb bigint", rows=64).distinct()
@@ -290,7 +398,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     Documents link if their whole fingerprints differ in `radius` or fewer bits, or if one of their sampled fingerprints agrees and
     the similarity of their shingle sets, taken whole, is `similarity` or more. At a similarity of 0.8 twelve samples of four miss about two pairs in a
-    thousand. In a group with one sampled fingerprint each document is compared with three representatives; where that leaves other members
+    thousand. In a group with one sampled fingerprint each document is compared with two heads; where that leaves other members
     in different components, they are compared among themselves by their rarest shingles (`partners`), which misses no pair.
     doc_id may be of any type that can be ordered; null and empty texts are one group."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -314,11 +422,15 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     sets = stage(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
     pairs = met.select("key", "fp", "root", F.explode("heads").alias("head")).where("root <> head.root")
     pairs = stage(pairs.selectExpr("key ka", "fp fa", "head.key kb", "head.fp fb").distinct(), "pairs")
-    edges = edges.unionByName(stage(verified(pairs, sets, similarity), "close"))
+    near = stage(compared(pairs, sets), "compared")
+    edges = edges.unionByName(close(near, similarity))
     rest = stage(left_over(met, rooted(keys, components(edges))), "members")
-    if rest.limit(1).count():
-        pairs = stage(partners(rest, sets, similarity), "pairs")
-        edges = edges.unionByName(stage(verified(pairs, sets, similarity), "close"))
+    if not rest.isEmpty():
+        pivots = stage(distances(near), "distances")
+        edges = edges.unionByName(stage(pivot_links(rest, sets, pivots, similarity), "inside"))
+        rest = stage(left_over(met, rooted(keys, components(edges))), "members")
+        pairs = stage(partners(rest, sets, similarity, pivots), "pairs")
+        edges = edges.unionByName(stage(close(compared(pairs, sets), similarity), "close"))
     roots = stage(components(edges), "components").withColumnRenamed("node", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
