@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm import exact, language, leaks, packing, simhash
-from alertloom.llm.common import documents, keep_rows, row_id, stage, table
+from alertloom.llm.common import documents, keep_rows, row_id, stage_result, table
 
 #: Several stages have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage_result(spark, lambda: step(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
