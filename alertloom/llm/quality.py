@@ -18,6 +18,8 @@ BUCKETS = 1 << 14
 DIMENSIONS = 64
 NONZERO = 6
 REACH = 2
+#: Places that are summed at a time.
+SLICE = 1 << 15
 HIDDEN = 32
 EPOCHS = 60
 THRESHOLD = 0.7
@@ -55,25 +57,61 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+def buckets(words, known: dict) -> list[int]:
+    """The words' buckets; `known` remembers those of words seen lately."""
+    if len(known) > 1 << 18:
+        known.clear()
+    at = []
+    for t in words:
+        if (b := known.get(t)) is None:
+            b = known[t] = bucket(t)
+        at.append(b)
+    return at
+
+
+def add_neighbours(at: np.ndarray, index: np.ndarray, sums: np.ndarray, seen: np.ndarray) -> None:
+    """Add to each bucket the index vectors of the neighbours of its places in `at`, within REACH, and their number. BUCKETS marks a place without a
+    word, and has a vector of zeros. Places are taken in slices; in a slice neighbours are summed by shifting it, then places by sorting it once."""
+    for low in range(0, len(at), SLICE):
+        start, stop = max(0, low - REACH), min(len(at), low + SLICE + REACH)
+        part = at[start:stop]
+        vectors, there = index[part], (part != BUCKETS).astype(np.int64)
+        near, n = np.zeros_like(vectors), np.zeros(len(part), np.int64)
+        for reach in range(1, min(REACH, len(part) - 1) + 1):
+            near[:-reach] += vectors[reach:]
+            near[reach:] += vectors[:-reach]
+            n[:-reach] += there[reach:]
+            n[reach:] += there[:-reach]
+        inner = slice(low - start, low - start + min(SLICE, len(at) - low))
+        own = part[inner]
+        order = np.argsort(own, kind="stable")
+        words, starts = np.unique(own[order], return_index=True)
+        sums[words] += np.add.reduceat(near[inner][order], starts, axis=0, dtype=sums.dtype)
+        seen[words] += np.add.reduceat(n[inner][order], starts)
+
+
 def learn_vectors(docs: DataFrame) -> np.ndarray:
-    """Context vectors of all texts of docs: a word's is its own index vector plus the mean of its neighbours'. Sums have one row per bucket and task."""
+    """Context vectors of all texts of docs: a word's is its own index vector plus the mean of its neighbours'. Sums have one row per bucket and task.
+    Texts are joined into runs of places, with a gap between them; a very long one is summed in slices like any run."""
 
     def run(batches):
-        index, sums, seen = index_vectors(), np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros(BUCKETS, np.int64)
+        index = np.vstack([index_vectors(), np.zeros((1, DIMENSIONS), np.float32)]).astype(np.int8)
+        sums, seen, known = np.zeros((BUCKETS + 1, DIMENSIONS), np.int64), np.zeros(BUCKETS + 1, np.int64), {}
+        waiting: list[int] = []
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                at = np.array([bucket(t) for t in tokens(text)], np.int64)
-                for reach in range(1, REACH + 1):
-                    for a, b in ((at[:-reach], at[reach:]), (at[reach:], at[:-reach])):
-                        for low in range(0, len(a), 1 << 16):
-                            order = np.argsort(a[low : low + (1 << 16)], kind="stable") + low
-                            own, starts, n = np.unique(a[order], return_index=True, return_counts=True)
-                            sums[own] += np.add.reduceat(index[b[order]], starts, axis=0)
-                            seen[own] += n
+                waiting += buckets(tokens(text), known)
+                waiting += [BUCKETS] * REACH
+                if len(waiting) >= SLICE:
+                    add_neighbours(np.array(waiting, np.uint16), index, sums, seen)
+                    waiting = []
+        if waiting:
+            add_neighbours(np.array(waiting, np.uint16), index, sums, seen)
+        sums, seen = sums[:BUCKETS], seen[:BUCKETS]
         used = np.flatnonzero(seen)
         if len(used):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used), pa.array(seen[used]), pa.array(list(sums[used]), pa.list_(pa.float32()))], ["bucket", "n", "sums"]
+                [pa.array(used), pa.array(seen[used]), pa.array(list(sums[used].astype(np.float32)), pa.list_(pa.float32()))], ["bucket", "n", "sums"]
             )
 
     parts = docs.select("text").mapInArrow(run, "bucket bigint, n bigint, sums array<float>")
@@ -91,13 +129,7 @@ def pooled(text: str, vectors: np.ndarray, known: dict) -> np.ndarray:
     total = sum(counts.values())
     if not total:
         return np.zeros(DIMENSIONS + 2, np.float32)
-    if len(known) > 1 << 18:
-        known.clear()
-    at = []
-    for t in counts:
-        if (b := known.get(t)) is None:
-            b = known[t] = bucket(t)
-        at.append(b)
+    at = buckets(counts, known)
     weights = np.fromiter(counts.values(), np.float32, len(counts)) / total
     return np.concatenate([weights @ vectors[at], [np.log1p(total) / 10, len(counts) / total]]).astype(np.float32)
 

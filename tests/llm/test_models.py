@@ -286,3 +286,22 @@ def test_every_stage_takes_an_empty_table(spark, sf):
     for name, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, sf)
         assert docs.count() == 0, name
+
+
+@pytest.mark.parametrize("size", [3, 7, 1 << 15])
+def test_sums_of_neighbours_equal_a_loop(monkeypatch, size):
+    monkeypatch.setattr(quality, "SLICE", size)
+    rng = np.random.default_rng(4)
+    index = np.vstack([quality.index_vectors(), np.zeros((1, quality.DIMENSIONS), np.float32)]).astype(np.int8)
+    texts = [rng.integers(0, 9, n) for n in (0, 1, 2, 3, 40, 5)]
+    places = np.concatenate([np.r_[t, [quality.BUCKETS] * quality.REACH] for t in texts]).astype(np.uint16)
+    sums, seen = np.zeros((quality.BUCKETS + 1, quality.DIMENSIONS), np.int64), np.zeros(quality.BUCKETS + 1, np.int64)
+    quality.add_neighbours(places, index, sums, seen)
+    want, count = np.zeros_like(sums), np.zeros_like(seen)
+    for t in texts:
+        for i, a in enumerate(t):
+            for j in range(max(0, i - quality.REACH), min(len(t), i + quality.REACH + 1)):
+                if i != j:
+                    want[a] += index[t[j]]
+                    count[a] += 1
+    assert (sums[: quality.BUCKETS] == want[: quality.BUCKETS]).all() and (seen[: quality.BUCKETS] == count[: quality.BUCKETS]).all()
