@@ -125,11 +125,12 @@ def fit_hybrid(train: DataFrame, actions: Sequence[str] = fixed.ACTIONS, y: str
 
 
 def fit_session_heads(train: DataFrame, y: str = "y") -> dict[str, Scorer]:
-    """The session scorer with and without the trap flags."""
-    return {
-        "with_hp": fit_logistic(train, web.SESSION_FEATURES + fixed.HONEYPOTS, y),
-        "ml_only": fit_logistic(train, web.SESSION_FEATURES, y),
-    }
+    """The session scorer with and without the trap flags, and, where sessions carry transition features, with the order of
+    requests, and with that order alone."""
+    heads = {"with_hp": web.SESSION_FEATURES + fixed.HONEYPOTS, "ml_only": web.SESSION_FEATURES}
+    if set(web.TRANSITIONS) <= set(train.columns):
+        heads |= {"ordered": web.SESSION_FEATURES + web.TRANSITIONS + fixed.HONEYPOTS, "order_only": web.TRANSITIONS}
+    return {name: fit_logistic(train, cols, y) for name, cols in heads.items()}
 
 
 def fit_tactics(train: DataFrame, cols: Sequence[str], tactics: Sequence[str] = fixed.TACTICS) -> dict[str, Scorer]:
@@ -161,7 +162,9 @@ def _aggregate_only(train, sessions, features):
 
 
 def _hybrid(train, sessions, features):
-    return fit_session_heads(train)["with_hp"].score(sessions, "agent_score").select("session_id", "agent_score")
+    """Aggregates, traps and the order of requests; the train sessions carry their transition features."""
+    cols = web.SESSION_FEATURES + web.TRANSITIONS + fixed.HONEYPOTS
+    return fit_logistic(train, cols).score(web.with_transitions(sessions, features), "agent_score").select("session_id", "agent_score")
 
 
 SCORERS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {

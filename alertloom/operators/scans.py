@@ -180,6 +180,19 @@ def rank_in_key(df: DataFrame, key: str, ts: str, ties: Sequence[str]) -> DataFr
     )
 
 
+def previous_in_key(df: DataFrame, key: str, ts: str, ties: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add, as `name`, the value of the row before in the key by ts and ties (null at the first). A large key is cut into parts, as in
+    `rank_in_key`; a part needs the last row of the one before."""
+    parts = in_parts(df, [key], [ts, *ties])
+    if parts is None:
+        return df.withColumn("__g", group_key([key])).select(*df.columns, F.lag(value).over(Window.partitionBy("__g").orderBy(ts, *ties)).alias(name))
+    inside, order = Window.partitionBy("__g", "__part").orderBy(ts, *ties), Window.partitionBy("__g").orderBy("__part")
+    last = parts.groupBy("__g", "__part").agg(F.max(F.struct(ts, *ties, F.col(value).alias("__v"))).alias("__last"))
+    last = last.select("__g", "__part", F.lag("__last").over(order)["__v"].alias("__carry"))
+    local = parts.withColumns({"__own": F.lag(value).over(inside), "__at": F.row_number().over(inside)})
+    return local.join(last, ["__g", "__part"]).select(*df.columns, F.when(F.col("__at") > 1, F.col("__own")).otherwise(F.col("__carry")).alias(name))
+
+
 def dyadic_cells(lo: Column, hi: Column, width: float, levels: int = 44) -> Column:
     """The cells an interval is made of, as rows (level, cell): a cell of a level is 2**level base cells of `width` seconds, and the interval,
     rounded to base cells, is cut into at most two cells of each level, so that ten years of 60 s cells are fewer than 46 rows."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed
 from alertloom.functions import columns as C
-from alertloom.operators.scans import carry_forward, group_key, time_cell
+from alertloom.operators.scans import carry_forward, group_key, previous_in_key, time_cell
 
 REQUEST_FEATURES = [
     "log_delta", "status_scaled", "is_post", "path_bucket", "log_req_bytes", "log_resp_bytes", "ua_score",
@@ -302,6 +302,34 @@ def public_sequences(req: DataFrame, sessions: DataFrame) -> DataFrame:
     return request_features(req).join(sessions.select("session_id"), "session_id", "left_semi")
 
 
+TRANSITION_SLOTS = 32
+TRANSITIONS = [f"go_{k}" for k in range(TRANSITION_SLOTS)]
+
+
+def transitions(features: DataFrame, slots: int = TRANSITION_SLOTS) -> DataFrame:
+    """(session_id, slot, n): how often a session goes from one kind of request to the next, by hashed slot. A kind is the method (POST or not),
+    the status class and the path bucket, so what is seen is the order of requests, not their number or pace.
+    features: the request features."""
+    kind = F.concat_ws("|", F.col("is_post").cast("int"), F.floor("status_scaled").cast("int"), F.round(F.col("path_bucket") * 16).cast("int"))
+    kinds = features.select("session_id", "ts", "line_id", kind.alias("kind"))
+    pairs = previous_in_key(kinds, "session_id", "ts", ["line_id"], "kind", "before").filter(F.col("before").isNotNull())
+    digest = F.sha2(F.concat_ws(">", "before", "kind"), 256)
+    slot = (F.conv(F.substring(digest, 57, 8), 16, 10).cast("long") % slots).cast("int")
+    return pairs.groupBy("session_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def transition_features(features: DataFrame) -> DataFrame:
+    """One row per session with two or more requests: the share of its transitions in each slot, as columns go_0, go_1, and so on."""
+    counts = transitions(features)
+    shares = [(F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)) / F.sum("n")).alias(c) for k, c in enumerate(TRANSITIONS)]
+    return counts.groupBy("session_id").agg(*shares)
+
+
+def with_transitions(sessions: DataFrame, features: DataFrame) -> DataFrame:
+    """Sessions with their transition features, 0 where a session has none."""
+    return sessions.join(transition_features(features), "session_id", "left").fillna(0.0, TRANSITIONS)
+
+
 def honeypot_rule(sessions: DataFrame) -> DataFrame:
     tripped = F.greatest(*[F.col(t) for t in fixed.HONEYPOTS]) > 0
     return sessions.select("session_id", F.when(tripped, 0.95).otherwise(0.05).alias("agent_score"))

@@ -90,11 +90,12 @@ def hybrid_lift(spark, sf):
 
 @query("M11_session_heads")
 def session_heads(spark, sf):
-    rows = cut_lineage(P.group_split(sessions(spark, sf), "session_id", 0.3, 0))
+    table = B.with_transitions(sessions(spark, sf), B.request_features(inputs(spark, sf)[0]))
+    rows = cut_lineage(P.group_split(table, "session_id", 0.3, 0))
     train, out = rows.filter(F.col("fold") == "train"), rows.filter(F.col("fold") == "test")
     for name, head in M.fit_session_heads(train).items():
         out = head.score(out, name)
-    return out.select("session_id", "y", "with_hp", "ml_only")
+    return out.select("session_id", "y", "with_hp", "ml_only", "ordered", "order_only")
 
 
 @query("M4_framework_swap")
@@ -112,7 +113,8 @@ def heldout_families(spark, sf):
 @query("F1_scorer_registry")
 def scorer_registry(spark, sf):
     req = inputs(spark, sf)[0]
-    rows = cut_lineage(P.group_split(sessions(spark, sf), "session_id", 0.3, 0))
+    table = B.with_transitions(sessions(spark, sf), B.request_features(req))
+    rows = cut_lineage(P.group_split(table, "session_id", 0.3, 0))
     train, test = rows.filter(F.col("fold") == "train"), rows.filter(F.col("fold") == "test")
     features = cut_lineage(B.public_sequences(req, test))
     out = None

@@ -143,7 +143,8 @@ def live_sessions(spark, sf):
     return in_turns(spark, rows, folder, lambda live: X.stream_sessions(live, f"{GAP} seconds", "1 day"), "complete")
 
 
-@query("R4_closed_sessions")
+@query("R4_closed_sessions", f"""WITH {ST} SELECT session_id, any_value(src_ip) AS src_ip, any_value(uah) AS uah, count(*) AS n_req, min(ts) AS ts_start, max(ts) AS ts_end FROM st GROUP BY session_id
+HAVING max(ts) + {GAP} <= (SELECT max(ts) FROM rq) - 86400""")
 def closed_sessions(spark, sf):
     """Append mode: sessions still open at the end of the input are held back."""
     folder = fresh_folder(spark)

@@ -107,6 +107,18 @@ def request_features(spark, sf):
     return rounded(B.request_features(inputs(spark, sf)[0]), _F9)
 
 
+@query("M9_request_transitions", f"""WITH {RR}, {FEAT}, kd AS (SELECT session_id, is_post::INT || '|' || floor(status_scaled)::INT || '|' || round(path_bucket * 16)::INT AS kind, ts, line_id FROM ft),
+tn AS (SELECT session_id, lag(kind) OVER (PARTITION BY session_id ORDER BY ts, line_id) || '>' || kind AS pair FROM kd),
+sl AS (SELECT session_id, CAST(CAST('0x' || substr(sha256(pair), 57, 8) AS BIGINT) % {B.TRANSITION_SLOTS} AS INTEGER) AS slot, count(*) AS n FROM tn WHERE pair IS NOT NULL GROUP BY ALL)
+SELECT session_id, slot, n, n / sum(n) OVER (PARTITION BY session_id) AS share FROM sl""")
+def request_transitions(spark, sf):
+    """The sparse order features of a session beside the shares that the scorer reads."""
+    features = B.request_features(inputs(spark, sf)[0])
+    wide = B.transition_features(features)
+    share = F.element_at(F.array(*B.TRANSITIONS), F.col("slot") + 1).alias("share")
+    return B.transitions(features).join(wide, "session_id").select("session_id", "slot", "n", share)
+
+
 @query("P14_path_bucket_exact")
 def path_bucket_exact(spark, sf):
     """Rows-only: DuckDB has no blake2b."""

@@ -56,9 +56,13 @@ def event_features(spark, sf):
     return rounded(W.event_features(members(spark, sf), staging.ACTIONS), {"log_dt": 9})
 
 
-@query("P11_sequence_tensor")
+@query("P11_sequence_tensor", f"""WITH {MEMBERS}
+SELECT campaign_id, window_id, list([{", ".join(f"round(CAST(action = '{a}' AS INTEGER)::DOUBLE, 9)" for a in staging.ACTIONS)}, round(ln(1 + greatest(0, coalesce(dt, 0))), 9),
+       round(depth / 6.0::DOUBLE, 9), round(artifact_ai, 9), round(pos / 32.0::DOUBLE, 9)] ORDER BY pos) AS seq
+FROM members GROUP BY campaign_id, window_id HAVING {KEEP}""")
 def sequence_tensor(spark, sf):
-    return W.sequence_tensor(members(spark, sf), staging.ACTIONS)
+    rows = W.sequence_tensor(members(spark, sf), staging.ACTIONS)
+    return rows.withColumn("seq", F.transform("seq", lambda event: F.transform(event, lambda x: F.round(x, 9))))
 
 
 @query("A8_window_tactic", f"""WITH {MEMBERS},
