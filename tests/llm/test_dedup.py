@@ -194,3 +194,21 @@ def test_deep_shallow_order():
     strings = [bytes(rng.choices(b"ab", k=rng.randrange(200))) for _ in range(150)] + [b"a" * 150] * 3 + [b"a" * 149, b""]
     order = suffixes.deep_shallow(strings, shallow=16)
     assert sorted(order) == list(range(len(strings))) and [strings[i] for i in order] == sorted(strings)
+
+
+def test_planted_passages_of_over_fifty_words(spark):
+    """Passages of 60 words in two texts each: both operators remove them where they have 400 bytes or more; below that only the one that counts words does.
+    Texts without a passage lose nothing."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    text = lambda n, size: " ".join(word(size) for _ in range(n))
+    long, short = text(60, 7), text(60, 4)
+    rows = [(1, f"{text(80, 6)} {long} {text(30, 6)}"), (2, f"{long} {text(90, 6)}"), (3, f"{text(70, 6)} {short}"), (4, f"{short} {text(70, 6)}"), (5, text(200, 6)), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(long) >= 400 > len(short)
+    by_words = {r.doc_id: r.n_removed for r in debruijn.remove_repeats(docs).collect()}
+    by_bytes = {r.doc_id: (r.n_removed, r.n_bytes) for r in suffixes.remove_repeats(docs).collect()}
+    assert by_words == {1: 60, 2: 60, 3: 60, 4: 60, 5: 0, 6: 0}
+    assert all(len(long) <= by_bytes[k][0] <= len(long) + 4 for k in (1, 2))
+    assert [by_bytes[k][0] for k in (3, 4, 5, 6)] == [0, 0, 0, 0]
+    assert {k: n for k, (_, n) in by_bytes.items()} == {k: len(t or "") for k, t in rows}
