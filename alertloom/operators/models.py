@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -176,12 +177,35 @@ SCORERS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
 }
 
 
-def run_scorer(name: str, train: DataFrame, sessions: DataFrame, features: DataFrame) -> DataFrame:
-    """Scores of a registered scorer, refused when they break the score contract."""
+def python_scorer(predict: Callable[[pd.DataFrame], Sequence[float]], columns: Sequence[str] | None = None) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """A scorer from a plain Python function: it gets pandas frames of sessions with the feature columns and returns one score per row.
+
+    Spark sends the sessions in Arrow batches, so the function sees a bounded number of them at a time and must score each row by itself; it never sees a
+    label. What it returns is held to the score contract like that of any other scorer (`run_scorer`). The function must be importable on the executors or defined
+    in the calling program."""
+    wanted = list(columns or [*web.SESSION_FEATURES, *fixed.HONEYPOTS])
+
+    def score(train: DataFrame, sessions: DataFrame, features: DataFrame) -> DataFrame:
+        kind = sessions.schema["session_id"].dataType.simpleString()
+
+        def run(batches):
+            for rows in batches:
+                scores = list(predict(rows[wanted]))
+                if len(scores) != len(rows):
+                    raise ValueError(f"{len(scores)} scores for {len(rows)} sessions")
+                yield pd.DataFrame({"session_id": rows["session_id"], "agent_score": scores})
+
+        return sessions.select("session_id", *wanted).mapInPandas(run, f"session_id {kind}, agent_score double")
+
+    return score
+
+
+def run_scorer(name: str | Callable, train: DataFrame, sessions: DataFrame, features: DataFrame) -> DataFrame:
+    """Scores of a registered scorer, or of one given as such, refused when they break the score contract."""
     from alertloom.operators.governance import validate_scores
 
     blind = sessions.select("session_id", "target_app", *web.SESSION_FEATURES, *fixed.HONEYPOTS)
-    scores = cut_lineage(SCORERS[name](train, blind, features))
+    scores = cut_lineage((SCORERS[name] if isinstance(name, str) else name)(train, blind, features))
     faults = validate_scores(scores, blind).limit(3).collect()
     if faults:
         raise ValueError(f"scorer {name} broke the score contract: {faults}")

@@ -2,6 +2,7 @@
 whose result depends on a fit have no SQL; the arithmetic around them is checked with the
 fixed rule score."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from alertloom import fixed
@@ -17,7 +18,7 @@ from alertloom.plans import reports, staging
 from alertloom.session import cut_lineage
 from catalog.registry import EV, SCORED, query
 from catalog.scores import _SPLITS, scored, splits
-from catalog.web import inputs, sessions
+from catalog.web import SESS, inputs, sessions
 from catalog.windows import members, rounded
 
 ACTIONS = staging.ACTIONS
@@ -124,6 +125,14 @@ def scorer_registry(spark, sf):
     return out
 
 
+@query("F1_python_scorer", f"WITH {SESS} SELECT session_id, round(1 / (1 + exp(3 - log_n - 2 * frac_4xx)), 9) AS agent_score FROM ss")
+def python_scorer(spark, sf):
+    """A scorer that a user brings as a function over pandas frames."""
+    table = cut_lineage(sessions(spark, sf))
+    scorer = M.python_scorer(lambda rows: 1 / (1 + np.exp(3 - rows["log_n"] - 2 * rows["frac_4xx"])))
+    return rounded(M.run_scorer(scorer, table, table, None), {"agent_score": 9})
+
+
 @query("F2_saved_scorer")
 def saved_scorer(spark, sf):
     from catalog.host import fresh_folder

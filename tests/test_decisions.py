@@ -237,3 +237,18 @@ def test_constant_scorer_is_saved(spark, tmp_path):
     again = Scorer.load(spark, str(tmp_path))
     assert again == constant and again.linear().coef == [0.0]
     assert again.score(spark.range(2)).select("score").distinct().collect() == [(0.5,)]
+
+
+def test_a_python_scorer_is_held_to_the_contract(spark):
+    from alertloom import fixed
+    from alertloom.operators import models, web
+
+    columns = [*web.SESSION_FEATURES, *fixed.HONEYPOTS]
+    rows = [(f"s{i}", "app", *[float(i + k) for k in range(len(columns))]) for i in range(5)]
+    table = spark.createDataFrame(rows, ["session_id", "target_app", *columns])
+    half = models.python_scorer(lambda r: r["log_n"] / 10, ["log_n"])
+    assert {r.session_id: r.agent_score for r in models.run_scorer(half, table, table, None).collect()} == {f"s{i}": i / 10 for i in range(5)}
+    with pytest.raises(ValueError):
+        models.run_scorer(models.python_scorer(lambda r: r["log_n"], ["log_n"]), table, table, None)  # beyond 1
+    with pytest.raises(Exception, match="scores for"):
+        models.run_scorer(models.python_scorer(lambda r: [0.5], ["log_n"]), table, table.coalesce(1), None)
