@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,16 @@ def keep_rows(docs: DataFrame, key: F.Column, kept: DataFrame, once: bool = Fals
 
 
 STAGED: list[str] = []
+RELEASE_S = 10.0
+_released = [0.0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, at most every RELEASE_S seconds: Spark removes the shuffle files of plans that nothing refers to only then,
+    and a driver with a small heap of plans may not collect for half an hour while executors' disks fill."""
+    if time.monotonic() - _released[0] > RELEASE_S:
+        spark.sparkContext._jvm.java.lang.System.gc()
+        _released[0] = time.monotonic()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -51,6 +62,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     STAGED.append(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
