@@ -258,7 +258,7 @@ def test_pipeline(spark, sf):
     ).repartition(3)
     kept = []
     for name, step in corpus_pipeline.STAGES:
-        columns, docs = docs.columns, corpus_pipeline.stage(step(spark, docs, sf), name)
+        columns, docs = docs.columns, corpus_pipeline.stage_result(spark, lambda: step(spark, docs, sf), name)
         kept.append((name, docs.toPandas()))
         assert docs.columns == columns or name == "best_fit_packing"
     rows = {name: dict(zip(x["doc_id"].astype(int), x["text"])) for name, x in kept[:-1]}
