@@ -123,7 +123,10 @@ def follow_growing_log(spark, sf):
     folder = fresh_folder(spark)
     staging.access_lines(spark, sf).select("value").write.text(folder + "/parts")
     home = urlparse(folder).path
-    pieces = sorted(glob(f"{home}/parts/part-*"))
+    pieces = [p for p in sorted(glob(f"{home}/parts/part-*")) if os.path.getsize(p)]  # a partition without rows may leave an empty file
+    if not pieces:
+        open(f"{home}/access.log", "ab").close()
+        return X.run_to_table(spark, logs.parse_access_log(growing.follow_files(spark, f"{home}/access.log*").select("value")), folder)
     for k, piece in enumerate(pieces):
         if k == len(pieces) // 2:
             os.rename(f"{home}/access.log", f"{home}/access.log.1") if k else None

@@ -1,5 +1,6 @@
 """Streams, in several micro-batches, against plain Python loops."""
 
+import datetime
 import math
 import os
 
@@ -269,3 +270,22 @@ def test_a_file_that_was_emptied_is_read_again(tmp_path):
     assert [x for p in parts for b in reader.read(p) for x in b.column("value").to_pylist()] == ["b"]
     os.remove(log)
     assert reader.partitions(second, reader.latestOffset()) == []
+
+
+@pytest.mark.parametrize("n", [40, 0])
+def test_growing_log_passes_over_empty_pieces(spark, tmp_path, n):
+    """One row group read in many splits: the first split has no rows, and its piece of the log no bytes."""
+    import __spark_entry__ as entry
+
+    kinds = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=i), i % 5, ACTIONS[i % 5], float(i), '{"k": %d}' % i) for i in range(n)]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        found = entry.queries()["S12_follow_growing_log"](spark, str(tmp_path))
+        assert found.count() == sum(i % 97 != 0 for i in range(n))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
