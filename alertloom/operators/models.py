@@ -88,11 +88,17 @@ def fit_gbt(train: DataFrame, cols: Sequence[str], y: str = "label", rounds: int
     if single_class(train, y):
         return Scorer(list(cols), None)
     weighted = class_weight(train, y).withColumn("__y", F.col(y).cast("double"))
-    stages = [
-        VectorAssembler(inputCols=list(cols), outputCol="__x", handleInvalid="keep"),
-        GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed),
-    ]
-    return Scorer(list(cols), Pipeline(stages=stages).fit(weighted))
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="__x", handleInvalid="keep")
+    # The fit runs a job per tree level and sends the plan of its rows with every task: short rows and a cut plan.
+    rows = cut_lineage(assembler.transform(weighted).select("__x", "__y", "weight"))
+    trees = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
+    return Scorer(list(cols), PipelineModel([assembler, trees.fit(rows)]))
+
+
+def side_by_side(fits: Sequence[Callable[[], Scorer]]) -> list[Scorer]:
+    """Runs fits that do not depend on each other at the same time: the jobs of one fill the pauses between the jobs of another."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda fit: fit(), fits))
 
 
 def fit_logistic(train: DataFrame, cols: Sequence[str], y: str = "y", c: float = 1.0) -> Scorer:
@@ -274,9 +280,10 @@ def framework_swap(windows: DataFrame, cols: Sequence[str], budget: float, fit:
     early = F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n_total") * 0.75))
     benign_train, benign_eval = [ranked.filter(c).drop("rank", "n_total") for c in (early, ~early)]
     out = None
-    for a, b in (("caldera", "atomic"), ("atomic", "caldera")):
-        attack = lambda fw: windows.filter((F.col("class") == "attack") & (F.col("framework") == fw))
-        scorer = fit(attack(a).unionByName(benign_train))
+    attack = lambda fw: windows.filter((F.col("class") == "attack") & (F.col("framework") == fw))
+    ways = [("caldera", "atomic"), ("atomic", "caldera")]
+    scorers = side_by_side([lambda a=a: fit(attack(a).unionByName(benign_train)) for a, _ in ways])
+    for (a, b), scorer in zip(ways, scorers):
         scored = cut_lineage(scorer.score(attack(b).unionByName(benign_eval)))
         picked_on = scored if tau_on == "eval" else scorer.score(attack(a).unionByName(benign_train))
         gap = exact_percentiles(scored.filter(F.col("label") == 0), "dt_median", [0.5]).agg(F.max("value").alias("m"))

@@ -84,8 +84,8 @@ def risk_spans(spark, sf):
 @query("M11_hybrid_lift")
 def hybrid_lift(spark, sf):
     train, test = folds(spark, sf)
-    both = M.fit_hybrid(train, ACTIONS).score(test, "hybrid")
-    both = M.fit_gbt(train, M.aggregate_columns(ACTIONS)).score(both, "aggregate")
+    hybrid, aggregate = M.side_by_side([lambda: M.fit_hybrid(train, ACTIONS), lambda: M.fit_gbt(train, M.aggregate_columns(ACTIONS))])
+    both = aggregate.score(hybrid.score(test, "hybrid"), "aggregate")
     return S.lift_table(cut_lineage(both), ["hybrid", "aggregate"], "aggregate")
 
 

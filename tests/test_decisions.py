@@ -1,8 +1,10 @@
 """Hand-valued cases for scores, thresholds, economics, web rows and governance."""
 
 import math
+import threading
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from alertloom import fixed
@@ -11,6 +13,7 @@ from alertloom.operators import attribution as A
 from alertloom.operators import economics as E
 from alertloom.operators import governance as D
 from alertloom.operators import graph as G
+from alertloom.operators import models as M
 from alertloom.operators import normalize as N
 from alertloom.operators import rollups as R
 from alertloom.operators import slices as S
@@ -252,3 +255,28 @@ def test_a_python_scorer_is_held_to_the_contract(spark):
         models.run_scorer(models.python_scorer(lambda r: r["log_n"], ["log_n"]), table, table, None)  # beyond 1
     with pytest.raises(Exception, match="scores for"):
         models.run_scorer(models.python_scorer(lambda r: [0.5], ["log_n"]), table, table.coalesce(1), None)
+
+
+def test_both_ways_of_a_framework_swap_are_fitted_at_the_same_time(spark):
+    windows = spark.createDataFrame(
+        [(f"{k}-{i}", i, k if k in ("normal",) else "attack", k, int(k != "normal"), 1.0) for k in ("caldera", "atomic", "normal") for i in range(8)],
+        "campaign_id string, window_id long, class string, framework string, label int, dt_median double",
+    )
+    both = threading.Barrier(2, timeout=60)
+
+    def fit(train):
+        both.wait()
+        return M.Scorer(["dt_median"], None)
+
+    rows = M.framework_swap(windows, ["dt_median"], 1.0, fit).collect()
+    assert [r["direction"] for r in rows] == ["train_caldera_eval_atomic", "train_atomic_eval_caldera"]
+
+
+def test_boosted_trees_get_short_rows_with_a_cut_plan(spark, monkeypatch):
+    seen, fitted = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows, params=None: seen.append(rows) or fitted(self, rows, params))
+    train = spark.createDataFrame([(float(i), float(i % 3), "not a feature", int(i > 20)) for i in range(40)], "a double, b double, note string, label int").filter("a >= 0")
+    scorer = M.fit_gbt(train, ["a", "b"], rounds=3, depth=2)
+    assert seen[0].columns == ["__x", "__y", "weight"]
+    assert "Filter" not in seen[0]._jdf.queryExecution().analyzed().toString()
+    assert scorer.model.transform(train).where("prediction = label").count() == 40
