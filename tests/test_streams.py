@@ -5,6 +5,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,11 @@ def test_growing_log_passes_over_empty_pieces(spark, tmp_path, n):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_rows_are_sorted_as_pandas_sorts_them_and_kept_with_their_types():
+    rows = pd.DataFrame({"ts": [2.0, 1.0, 1.0, 2.0, 1.0], "n": [3.0, None, 5.0, 1.0, 5.0], "s": ["b", None, "a", "c", "d"], "m": [1, 2, 3, 4, 5]})
+    rows["d"] = pd.array([1, None, 3, None, 5], dtype="Int64")
+    for order in (["ts", "n"], ["ts", "s"], ["ts", "d"], ["ts"]):
+        pd.testing.assert_frame_equal(O.in_order(rows, order), rows.sort_values(order, kind="stable"))
+    pd.testing.assert_frame_equal(O.unpacked(O.packed(rows)), rows)
