@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import attach, in_batches, stage
+from alertloom.llm.common import attach, forget, in_batches, stage, staged
 from alertloom.llm.windows import OTHER, TEXT, Rolling, candidates, keyed, merged, texts_with
 
 WIDTH = 35
@@ -34,26 +34,30 @@ def compact(paths: DataFrame) -> DataFrame:
     nonbranching; such chains are found by pointer doubling, joins whose rounds grow with the logarithm of a chain's
     length. Returns span: t, size, lo, hi, one row per occurrence of a chain. Its place in the text must agree for
     all its members (`lo` less the member's distance from the head), else they stay separate spans."""
+    spark, before = paths.sparkSession, len(staged())
     paths = paths.select("t", "size", "lo", "hi", F.xxhash64("gram", "whole").alias("node"))
     here = Window.partitionBy(*TEXT).orderBy("lo")
     follows = F.lead("lo").over(here) == F.col("hi") + 1
     steps = paths.withColumns({"next": F.when(follows, F.lead("node").over(here)), "step": F.col("hi") - F.col("lo") + 1})
     after = steps.groupBy("node").agg(F.min("next").alias("next"), (F.count("*") == F.count("next")).alias("always"), F.min("next").eqNullSafe(F.max("next")).alias("one"), F.min("step").alias("step"))
     out = stage(after.where("always and one and next <> node").select("node", "next", "step"), "single")
-    before = steps.withColumn("prev", F.when(F.lag("hi").over(here) + 1 == F.col("lo"), F.lag("node").over(here)))
-    before = before.groupBy("node").agg((F.count("*") == F.count("prev")).alias("always"), F.min("prev").eqNullSafe(F.max("prev")).alias("one"))
-    links = out.join(before.where("always and one").select(F.col("node").alias("next")), "next").selectExpr("next node", "node up", "cast(step as bigint) far")
+    behind = steps.withColumn("prev", F.when(F.lag("hi").over(here) + 1 == F.col("lo"), F.lag("node").over(here)))
+    behind = behind.groupBy("node").agg((F.count("*") == F.count("prev")).alias("always"), F.min("prev").eqNullSafe(F.max("prev")).alias("one"))
+    links = out.join(behind.where("always and one").select(F.col("node").alias("next")), "next").selectExpr("next node", "node up", "cast(step as bigint) far")
     links = stage(links, "links")
     while True:
         higher = links.selectExpr("node up", "up top", "far more")
         doubled = links.join(higher, "up", "left").selectExpr("node", "coalesce(top, up) up", "far + coalesce(more, 0) far", "top is not null moved")
         doubled = stage(doubled, "links")
+        forget(spark, staged()[before:-1])
         links = doubled.drop("moved")
         if not doubled.where("moved").limit(1).count():
             break
     heads = links.select("node", F.col("up").alias("head"), "far")
     sizes = paths.groupBy("node").agg(F.count("*").alias("n")).join(heads, "node", "left")
-    named = attach(paths, stage(sizes, "heads"), ["node"], "n")
+    sizes = stage(sizes, "heads")
+    forget(spark, staged()[before:-1])
+    named = attach(paths, sizes, ["node"], "n")
     chains = named.select("t", "size", "lo", "hi", F.coalesce("head", "node").alias("head"), (F.col("lo") - F.coalesce("far", F.lit(0))).alias("start"))
     return chains.groupBy("t", "size", "head", "start").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("t", "size", "lo", "hi")
 
@@ -67,7 +71,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     shorter texts than a window stay whole; an empty table gives no rows.
 
     Paths of edges whose copies are whole are decided from their hashes and compacted; where copies differ, the edges of
-    one representative per path are counted. The texts themselves are shuffled once."""
+    one representative per path are counted. The texts themselves are shuffled once. What a later table replaces is removed."""
+    spark, before = docs.sparkSession, len(staged())
     found = candidates(docs, symbols, width, gram)
     spans = compact(found.where("state <> 'open'"))
     whole = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
@@ -92,6 +97,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     shape = pa.schema([("t", pa.int64()), ("size", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pair), ("text", pa.string()), ("ranges", pair), ("edges", edge)])
     done = f"t bigint, size int, n_words bigint, n_removed bigint, kept_sha256 string, spans {RANGES}"
     looked = stage(in_batches(rows, first_pass, f"{done}, text string, ranges {RANGES}, edges {EDGES}"), "looked")
+    forget(spark, staged()[before:-1])
     pending = looked.where("edges is not null")
     each = pending.select(*TEXT, F.explode("edges").alias("e")).select(*TEXT, "e.*")
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
@@ -105,8 +111,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     late = in_batches(pending.select(*TEXT, "text", "ranges").join(starts, TEXT, "left"), second_pass, done)
     answers = looked.where("edges is null").drop("text", "ranges", "edges").unionByName(late)
+    answers = stage(answers, "answers")
+    forget(spark, staged()[before:-1])
     ids = stage(keyed(docs).select("doc_id", *TEXT), "ids")
-    answers = stage(answers, "answers").join(ids.groupBy(*TEXT).agg(F.count("*").alias("n")), TEXT)
+    answers = answers.join(ids.groupBy(*TEXT).agg(F.count("*").alias("n")), TEXT)
     return attach(ids, answers, TEXT, "n").select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 

@@ -1,12 +1,15 @@
 """Exact, near and substring dedup against plain loops."""
 
 import hashlib
+import os
 import random
+import threading
 
 import numpy as np
 import pytest
 
 from alertloom.llm import common, debruijn, exact, simhash, suffixes, windows
+from alertloom.session import shared_folder
 from plain import TEXTS, awkward, fingerprint, repeats, shingle_set, union
 
 
@@ -212,3 +215,45 @@ def test_planted_passages_of_over_fifty_words(spark):
     assert all(len(long) <= by_bytes[k][0] <= len(long) + 4 for k in (1, 2))
     assert [by_bytes[k][0] for k in (3, 4, 5, 6)] == [0, 0, 0, 0]
     assert {k: n for k, (_, n) in by_bytes.items()} == {k: len(t or "") for k, t in rows}
+
+
+def on_disk(spark):
+    folder = f"{shared_folder(spark)}/llm"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def label(name):
+    return name.rpartition("-")[0]
+
+
+def test_word_repeats_keep_on_disk_only_what_the_result_reads(spark, monkeypatch):
+    """The super-windows and their counts are gone when paths are joined, and all but the answers at the end."""
+    before, seen = on_disk(spark), []
+    compact = debruijn.compact
+    monkeypatch.setattr(debruijn, "compact", lambda paths: [seen.append(sorted(map(label, on_disk(spark) - before))), compact(paths)][1])
+    found = debruijn.remove_repeats(awkward(spark, repeated_texts(1)), 6, 3)
+    assert seen == [["candidates"]]
+    assert sorted(map(label, on_disk(spark) - before)) == ["answers", "ids"]
+    assert found.count() == len(repeated_texts(1))
+
+
+def test_components_keep_one_round(spark):
+    before = on_disk(spark)
+    found = common.components(spark.range(40).selectExpr("id a", "id + 1 b"))
+    assert list(map(label, on_disk(spark) - before)) == ["small"]
+    assert {r["root"] for r in found.collect()} == {0}
+
+
+def test_staged_tables_of_other_threads_stay(spark):
+    def other():
+        tables.append(common.stage(spark.range(3), "other"))
+
+    def make():
+        worker = threading.Thread(target=other)
+        worker.start()
+        worker.join()
+        return common.stage(spark.range(5), "own")
+
+    tables = []
+    assert common.stage_result(spark, make, "result").count() == 5
+    assert tables[0].count() == 3
