@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import attach, components, documents, in_batches, stage
+from alertloom.llm.common import attach, components, documents, forget, in_batches, stage, stage_result, staged
 
 SEED = 42
 HOMES_PER_ANCHOR = 512
@@ -400,7 +400,15 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     the similarity of their shingle sets, taken whole, is `similarity` or more. At a similarity of 0.8 twelve samples of four miss about two pairs in a
     thousand. In a group with one sampled fingerprint each document is compared with two heads; where that leaves other members
     in different components, they are compared among themselves by their rarest shingles (`partners`), which misses no pair.
-    doc_id may be of any type that can be ordered; null and empty texts are one group."""
+    doc_id may be of any type that can be ordered; null and empty texts are one group.
+
+    The result is staged. The sets of all documents, longer than the texts, are on disk until those of documents with an open group have been
+    written apart; what a later table replaces is removed."""
+    return stage_result(docs.sparkSession, lambda: _placed(docs, width, similarity, radius), "similar")
+
+
+def _placed(docs: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -412,26 +420,29 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), fps, keys, samples, hashes], ["doc_id", "fp", "key", "samples", "hashes"])
 
-    rows = stage(in_batches(documents(docs), batch, f"doc_id {kind}, fp bigint, key bigint, samples array<bigint>, hashes array<bigint>"), "shingles")
+    whole = stage(in_batches(documents(docs), batch, f"doc_id {kind}, fp bigint, key bigint, samples array<bigint>, hashes array<bigint>"), "shingles")
+    whole_path = staged()[-1]
+    rows = stage(whole.select("doc_id", "fp", "key"), "rows")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
-    keys = stage(rows.where("size(samples) > 0").groupBy("key").agg(F.min("fp").alias("fp"), F.first("samples").alias("samples")), "keys")
+    keys = stage(whole.where("size(samples) > 0").groupBy("key").agg(F.min("fp").alias("fp"), F.first("samples").alias("samples")), "keys")
     same = rows.select("key", F.col("fp").alias("a")).distinct().join(keys.select("key", F.col("fp").alias("b")), "key").select("a", "b")
-    edges = stage(links(classes, radius).unionByName(same.where("a <> b")), "links")
-    met = stage(open_groups(rooted(keys, components(edges))), "met")
-    sets = rows.select("key", "hashes").join(met.select("key").distinct(), "key", "left_semi")
+    edges = stage_result(spark, lambda: links(classes, radius).unionByName(same.where("a <> b")), "links")
+    met = stage_result(spark, lambda: open_groups(rooted(keys, components(edges))), "met")
+    sets = whole.select("key", "hashes").join(met.select("key").distinct(), "key", "left_semi")
     sets = stage(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    forget(spark, [whole_path])
     pairs = met.select("key", "fp", "root", F.explode("heads").alias("head")).where("root <> head.root")
     pairs = stage(pairs.selectExpr("key ka", "fp fa", "head.key kb", "head.fp fb").distinct(), "pairs")
-    near = stage(compared(pairs, sets), "compared")
+    near = stage_result(spark, lambda: compared(pairs, sets), "compared")
     edges = edges.unionByName(close(near, similarity))
-    rest = stage(left_over(met, rooted(keys, components(edges))), "members")
+    rest = stage_result(spark, lambda: left_over(met, rooted(keys, components(edges))), "members")
     if not rest.isEmpty():
-        pivots = stage(distances(near), "distances")
-        edges = edges.unionByName(stage(pivot_links(rest, sets, pivots, similarity), "inside"))
-        rest = stage(left_over(met, rooted(keys, components(edges))), "members")
-        pairs = stage(partners(rest, sets, similarity, pivots), "pairs")
-        edges = edges.unionByName(stage(close(compared(pairs, sets), similarity), "close"))
-    roots = stage(components(edges), "components").withColumnRenamed("node", "fp")
+        pivots = stage_result(spark, lambda: distances(near), "distances")
+        edges = edges.unionByName(stage_result(spark, lambda: pivot_links(rest, sets, pivots, similarity), "inside"))
+        rest = stage_result(spark, lambda: left_over(met, rooted(keys, components(edges))), "members")
+        pairs = stage_result(spark, lambda: partners(rest, sets, similarity, pivots), "pairs")
+        edges = edges.unionByName(stage_result(spark, lambda: close(compared(pairs, sets), similarity), "close"))
+    roots = stage_result(spark, lambda: components(edges), "components").withColumnRenamed("node", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
     named = attach(placed, least, ["root"], "size").select("fp", "n", "component_id")

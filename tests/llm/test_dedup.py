@@ -237,6 +237,18 @@ def test_word_repeats_keep_on_disk_only_what_the_result_reads(spark, monkeypatch
     assert found.count() == len(repeated_texts(1))
 
 
+def test_near_copies_keep_on_disk_only_what_the_result_reads(spark, monkeypatch):
+    """The sets of all documents are gone when sets are compared, and all but the result at the end."""
+    before, seen = on_disk(spark), []
+    compared = simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda *a: [seen.append(set(map(label, on_disk(spark) - before))), compared(*a)][1])
+    texts = [(k, t) for k, (_, t) in enumerate(near_texts())]
+    found = simhash.similar_documents(awkward(spark, texts))
+    assert seen and all("sets" in x and "shingles" not in x for x in seen)
+    assert sorted(map(label, on_disk(spark) - before)) == ["similar"]
+    assert found.count() == len(texts)
+
+
 def test_components_keep_one_round(spark):
     before = on_disk(spark)
     found = common.components(spark.range(40).selectExpr("id a", "id + 1 b"))
