@@ -208,6 +208,16 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def set_keys(sets: list[np.ndarray]) -> pa.Array:
+    """What tells sets of shingle hashes apart."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+
+
+def widened(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after more links: those found before stand for all links that led to them."""
+    return components(roots.toDF("a", "b").unionByName(links))
+
+
 def rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
     """keys with the column root: what their fp is linked to, or the fp itself."""
     found = keys.groupBy("fp").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
@@ -353,15 +363,24 @@ def same_first(pivots: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return (number[a] == number[b]) & (number[a] >= 0)
 
 
+def crowded(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members that can have a partner: a set of n shingles of which more than n - similarity * n are in no other set is similar enough to none."""
+    shingles = members.select("key").join(sets, "key").select("key", F.explode("hashes").alias("h"))
+    own = shingles.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("own"))
+    sizes = members.join(sets.select("key", F.size("hashes").alias("size")), "key").join(own, "key", "left")
+    return sizes.where(F.coalesce("own", F.lit(0)) <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9)).select(*members.columns)
+
+
 def partners(members: DataFrame, sets: DataFrame, similarity: float, pivots: DataFrame) -> DataFrame:
     """Pairs (ka, fa, kb, fb) of members of different components, with every pair whose sets are as similar as asked and that has not the same first pivot.
 
     Of a set of n shingles, at least similarity * n are in a partner's, so in any one order of all shingles the two share one of
     their first n - similarity * n + 1. The order is: those that only one component has, then by rising number of members. So a
-    passage that many share comes last, and documents meet by what is rare in them. Groups that are large nevertheless are cut into a
+    passage that many share comes last, and documents meet by what is rare in them. Members that hold too much of their own to have a partner go before
+    shingles are looked up (`crowded`). Groups that are large nevertheless are cut into a
     grid of blocks, which meet every pair; sizes, places in the order and distances from common pivots leave out pairs that cannot be similar
     enough, and no others: those near a pivot, which are linked through it, are not compared with those far from it."""
-    members = members.join(pivots, "key", "left")
+    members = stage(crowded(members, sets, similarity), "crowded").join(pivots, "key", "left")
     rows = members.select("key", "fp", "root").join(sets, "key").select("key", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
     seen = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     seen = stage(seen.where("low <> high").select("h", "n"), "shared")
@@ -402,8 +421,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     in different components, they are compared among themselves by their rarest shingles (`partners`), which misses no pair.
     doc_id may be of any type that can be ordered; null and empty texts are one group.
 
-    The result is staged. The sets of all documents, longer than the texts, are on disk until those of documents with an open group have been
-    written apart; what a later table replaces is removed."""
+    The result is staged. Sets, longer than the texts, are written for documents with an open group only, from their texts once those groups are known;
+    what a later table replaces is removed."""
     return stage_result(docs.sparkSession, lambda: _placed(docs, width, similarity, radius), "similar")
 
 
@@ -415,34 +434,40 @@ def _placed(docs: DataFrame, width: int, similarity: float, radius: int) -> Data
         texts = rows.column("text").to_pylist()
         sets = [shingle_hashes(t, width) for t in texts]
         samples = pa.array([sampled_fingerprints(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-        keys = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
         fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-        hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), fps, keys, samples, hashes], ["doc_id", "fp", "key", "samples", "hashes"])
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), fps, set_keys(sets), samples], ["doc_id", "text_hash", "fp", "key", "samples"])
+
+    def batch_of_sets(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(t, width) for t in rows.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([set_keys(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "hashes"])
 
-    whole = stage(in_batches(documents(docs), batch, f"doc_id {kind}, fp bigint, key bigint, samples array<bigint>, hashes array<bigint>"), "shingles")
+    texts = documents(docs).withColumn("text_hash", F.xxhash64("text"))
+    whole = stage(in_batches(texts, batch, f"doc_id {kind}, text_hash bigint, fp bigint, key bigint, samples array<bigint>"), "whole")
     whole_path = staged()[-1]
     rows = stage(whole.select("doc_id", "fp", "key"), "rows")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
-    keys = stage(whole.where("size(samples) > 0").groupBy("key").agg(F.min("fp").alias("fp"), F.first("samples").alias("samples")), "keys")
+    kept = [F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.first("samples").alias("samples")]
+    keys = stage(whole.where("size(samples) > 0").groupBy("key").agg(*kept), "keys")
+    forget(spark, [whole_path])
     same = rows.select("key", F.col("fp").alias("a")).distinct().join(keys.select("key", F.col("fp").alias("b")), "key").select("a", "b")
     edges = stage_result(spark, lambda: links(classes, radius).unionByName(same.where("a <> b")), "links")
-    met = stage_result(spark, lambda: open_groups(rooted(keys, components(edges))), "met")
-    sets = whole.select("key", "hashes").join(met.select("key").distinct(), "key", "left_semi")
-    sets = stage(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
-    forget(spark, [whole_path])
+    roots = components(edges)
+    met = stage_result(spark, lambda: open_groups(rooted(keys, roots)), "met")
+    used = keys.select("key", "text_hash").join(met.select("key").distinct(), "key").select("text_hash")
+    used = texts.groupBy("text_hash").agg(F.first("text").alias("text")).join(used, "text_hash", "left_semi")
+    sets = stage(in_batches(used.select("text"), batch_of_sets, "key bigint, hashes array<bigint>"), "sets")
     pairs = met.select("key", "fp", "root", F.explode("heads").alias("head")).where("root <> head.root")
     pairs = stage(pairs.selectExpr("key ka", "fp fa", "head.key kb", "head.fp fb").distinct(), "pairs")
     near = stage_result(spark, lambda: compared(pairs, sets), "compared")
-    edges = edges.unionByName(close(near, similarity))
-    rest = stage_result(spark, lambda: left_over(met, rooted(keys, components(edges))), "members")
+    roots = widened(roots, close(near, similarity))
+    rest = stage_result(spark, lambda: left_over(met, rooted(keys, roots)), "members")
     if not rest.isEmpty():
         pivots = stage_result(spark, lambda: distances(near), "distances")
-        edges = edges.unionByName(stage_result(spark, lambda: pivot_links(rest, sets, pivots, similarity), "inside"))
-        rest = stage_result(spark, lambda: left_over(met, rooted(keys, components(edges))), "members")
+        roots = widened(roots, stage_result(spark, lambda: pivot_links(rest, sets, pivots, similarity), "inside"))
+        rest = stage_result(spark, lambda: left_over(met, rooted(keys, roots)), "members")
         pairs = stage_result(spark, lambda: partners(rest, sets, similarity, pivots), "pairs")
-        edges = edges.unionByName(stage_result(spark, lambda: close(compared(pairs, sets), similarity), "close"))
-    roots = stage_result(spark, lambda: components(edges), "components").withColumnRenamed("node", "fp")
+        roots = widened(roots, stage_result(spark, lambda: close(compared(pairs, sets), similarity), "close"))
+    roots = roots.withColumnRenamed("node", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
     named = attach(placed, least, ["root"], "size").select("fp", "n", "component_id")

@@ -269,3 +269,62 @@ def test_staged_tables_of_other_threads_stay(spark):
     tables = []
     assert common.stage_result(spark, make, "result").count() == 5
     assert tables[0].count() == 3
+
+
+@pytest.mark.parametrize("small", [0, 1 << 14])
+@pytest.mark.parametrize("sizes", [[], [1] * 30, [5000, 40, 3, 3, 1], [1] * 1200, [3000] + [1] * 1200])
+def test_attach_is_a_left_join(spark, monkeypatch, small, sizes):
+    """No key, few keys, hot and rare ones, rare ones only; a null key and one that the table lacks find nothing."""
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    table = spark.createDataFrame([(k, n, 10 * k) for k, n in enumerate(sizes)], "k bigint, n bigint, x bigint")
+    rows = [(k, k % 3) for k in range(len(sizes))] + [(None, 0), (-1, 1)]
+    found = common.attach(spark.createDataFrame(rows, "k bigint, y int"), table, ["k"], "n")
+    assert found.columns == ["k", "y", "n", "x"]
+    expected = [(k, y, sizes[k], 10 * k) if k is not None and k >= 0 else (k, y, None, None) for k, y in rows]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    nothing = common.attach(spark.createDataFrame(rows, "k bigint, y int"), spark.createDataFrame([], "k bigint, n bigint, x array<bigint>"), ["k"], "n")
+    assert {(r["n"], r["x"]) for r in nothing.collect()} == {(None, None)}
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars around their smallest nodes already are their own result."""
+    labels, stage = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, label: [labels.append(label), stage(df, label)][1])
+    found = common.components(spark.createDataFrame([(5, 1), (1, 6), (7, 2), (2, 2)], "a bigint, b bigint"))
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(1, 1), (5, 1), (6, 1), (2, 2), (7, 2)}
+    assert labels == ["edges"]
+    assert {r["root"] for r in common.components(spark.createDataFrame([(5, 1), (6, 5)], "a bigint, b bigint")).collect()} == {1}
+    assert labels[-1] == "small"
+
+
+def test_sets_of_documents_without_near_copies_are_not_written(spark, monkeypatch):
+    """Only documents that share a sampled fingerprint with another have their sets written, once for texts that differ in case or white space."""
+    written, stage = {}, simhash.stage
+
+    def noted(df, label):
+        out = stage(df, label)
+        if "hashes" in out.columns:
+            written.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", noted)
+    rng = random.Random(13)
+    fresh = lambda n: [f"x{rng.getrandbits(40):x}" for _ in range(n)]
+    words = fresh(400)
+    texts = [" ".join(fresh(60)) for _ in range(50)] + [" ".join(words), "  ".join(words).upper(), " ".join(words[:-12] + fresh(12)), " ".join(words)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(awkward(spark, list(enumerate(texts)))).collect()}
+    assert found == linked(texts) and found[53] == found[52] == 50
+    assert written == {"sets": 2}
+
+
+def test_texts_that_share_only_a_passage_are_not_looked_up(spark):
+    """A set with over a fifth of its shingles in no other set has no partner at 0.8; near copies stay."""
+    rng = random.Random(14)
+    own = lambda n: rng.sample(range(1 << 40), n)
+    passage, both = own(60), own(60)
+    sets = [sorted(passage + own(20)) for _ in range(40)] + [sorted(both + own(7)) for _ in range(2)] + [sorted(passage + own(14))]
+    table = spark.createDataFrame(list(enumerate(sets)), "key bigint, hashes array<bigint>")
+    members = spark.createDataFrame([(k, k, k) for k in range(len(sets))], "key bigint, fp bigint, root bigint")
+    assert {r["key"] for r in simhash.crowded(members, table, 0.8).collect()} == {40, 41, 42}
+    pivots = spark.createDataFrame([], "key bigint, pivots array<struct<place:int,pivot:bigint,far:double>>")
+    assert [(r["ka"], r["kb"]) for r in simhash.partners(members, table, 0.8, pivots).collect()] == [(40, 41)]
